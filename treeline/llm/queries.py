@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from treeline.llm import origin  # noqa: F401
+from treeline.llm import leakage, mixing, origin  # noqa: F401
 from treeline.llm.common import ORACLES, QUERIES  # noqa: F401
