@@ -91,7 +91,7 @@ def javascript(types: bool = False) -> Grammar:
     if types:
         r["decls"] = (
             "( declare | abstract )* ( interface ID @tparams? ( extends @type ( ', @type )* )? C:tobj | type ID @tparams? '= @type SEMI | const? enum ID C:enum | ( namespace | module ) ( ID ( '. ID )* | STR ) C:module | module STR SEMI | global C:module "
-            "| declare ( const | let | var ) @bind @ann ( ', @bind @ann )* SEMI | declare @func SEMI | declare @deco abstract? @class )"
+            "| declare ( const | let | var ) @bind ( @ann )? ( '= @expr )? ( ', @bind ( @ann )? ( '= @expr )? )* SEMI | declare @func SEMI | declare @deco abstract? @class )"
         )
     r["stmt"] = "( @prefix* @core | ( @prefix | if P:exprs )* if P:exprs @prefix* @core ( else ( @prefix | if P:exprs )* @core )* )"
     r["import"] = f"import ( STR | {ts('type?')} ( ID ( ', ( C:specs | '* as ID ) )? | C:specs | '* as ID ) from STR ) ( with C:object )? SEMI" + ts(" | import ID '= ( ID P:args | ID ( '. ID )* ) SEMI")
@@ -103,7 +103,7 @@ def javascript(types: bool = False) -> Grammar:
     member = f"MOD* ( '* )? {name} ( @opt {ts('@tparams?')} P:params {ann} ( C:block {ts('| SEMI')} ) | @opt {ann} ( '= @expr )? SEMI )"
     module = "( @stmt | @import | @export )*"
     kinds = {
-        "F:file": f"SHEBANG? {module}", "C:block": "( @stmt )*", "C:module": module, "C:cases": "( ( case @exprs ': | default ': ) @stmt* )*",
+        "F:file": f"SHEBANG? {module}", "C:block": "( @stmt )*", "C:module": f"( @stmt | @import | @export {ts('| export? const @bind @ann ( QQ, @bind @ann )* SEMI')} )*".replace("QQ", "'"), "C:cases": "( ( case @exprs ': | default ': ) @stmt* )*",
         "C:class": f"( '; | @deco ( static C:block | {member} {ts('| MOD* B:index @ann SEMI')} ) )*",
         "C:object": f"( ( '... @expr | ID ( '= @expr )? | await | yield | {name} ': @expr | ( async | get | set )* ( '* )? {name} {ts('@tparams?')} P:params {ann} C:block ) ( ', | END ) )*".replace("( ', | END ) )*", "( ', ( '... @expr | ID ( '= @expr )? | await | yield | %s ': @expr | ( async | get | set )* ( '* )? %s %s P:params %s C:block ) )* ( ', )? )?" % (name, name, ts('@tparams?'), ann)),
         "C:specs": f"( {ts('type?')} ( PROP | STR ) ( as ( PROP | STR ) )? ( ', {ts('type?')} ( PROP | STR ) ( as ( PROP | STR ) )? )* ( ', )? )?",
@@ -248,9 +248,9 @@ def rust() -> Grammar:
     r["exprpath"] = "( ':: | '< @type ( as @type )? '> ':: )? ( ID | self | Self | super | crate ) ( ':: ( ID | self | Self | super | '< ( ( LIFE | ID '= @type | @type | NUM | '- NUM | true | false | C:block ) ( ', )? )* '> ) )*"
     r["sprimary"] = "( NUM | STR | true | false | _ | @exprpath ( '! ( P:any | B:any | C:any ) )? | P:exprs | B:array | ( LIFE ': )? ( unsafe | async move? | const )? C:block | return | break LIFE? | continue LIFE? | '.. )"
     r["post"] = "( '. ( ID | NUM | await | self ) ( ':: '< ( ( LIFE | @type ) ( ', )? )* '> )? | P:exprs,args | B:exprs | '? | as @type | C:fields | '.. )"
-    r["sexpr"] = f"{prefix} @sprimary @post* ( ( BIN | '> '> ( '= )? ) {prefix} @sprimary @post* )*"
+    r["sexpr"] = f"{prefix} @sprimary @post* ( ( BIN | '> '> ( '= )? | '< '< ) {prefix} @sprimary @post* )*"
     r["ctl"] = "( LIFE ': )? ( if @sexpr C:block ( else if @sexpr C:block )* ( else C:block )? | match @sexpr C:arms | while @sexpr C:block | for @pat in @sexpr C:block | loop C:block )"
-    r["expr"] = f"{prefix} @attr* ( @sprimary | @ctl ) @post* ( ( BIN | '> '> ( '= )? ) {prefix} ( @sprimary | @ctl ) @post* )*"
+    r["expr"] = f"{prefix} @attr* ( @sprimary | @ctl ) @post* ( ( BIN | '> '> ( '= )? | '< '< ) {prefix} ( @sprimary | @ctl ) @post* )*"
     r["item"] = (
         "( ( const | async | unsafe | safe | default | extern STR? )* fn ID @gparams? P:params ( '-> @type )? @where ( C:block | '; ) "
         "| struct ID @gparams? ( @where C:sfields | P:tfields @where '; | @where '; ) | enum ID @gparams? @where C:variants | union ID @gparams? @where C:sfields "

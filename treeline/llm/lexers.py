@@ -1,4 +1,8 @@
-"""Texts of eight languages as token numbers of their grammars; -1 stands where no token can be read."""
+"""Texts of eight languages as token numbers of their grammars; -1 stands where no token can be read.
+
+With a ``Trace``, the programming languages also give where tokens and comments stand, and go on after what
+can't be read.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,16 @@ from treeline.llm import grammars
 from treeline.llm.automata import BREAK, Grammar
 
 BAD = -1
+
+
+class Trace:
+    """Offsets of tokens (beside the token list; -1 for implied ones) and (start, end) of comments."""
+
+    def __init__(self):
+        self.at: list[int] = []
+        self.notes: list[tuple[int, int]] = []
+
+
 EXTENSIONS = {
     ".py": "python", ".pyw": "python", ".pyi": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript",
     ".rs": "rust", ".go": "go", ".java": "java", ".json": "json", ".toml": "toml",
@@ -105,10 +119,10 @@ _JS_NUM = r"0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][
 _JS_STR = r'"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|\'(?:[^\'\\\n\r]|\\(?:\r\n|[\s\S]))*\''
 _JS_BIN = ["**", "**=", "*=", "/=", "%", "%=", "+=", "-=", "<<", "<<=", "<=", ">=", ">>=", ">>>=", "==", "===", "!=", "!==", "&&", "||", "??", "&=", "|=", "^", "^=", "&&=", "||=", "??=", "/"]
 _JS_MARKS = ["{", "}", "(", ")", "[", "]", ";", ",", ".", "...", "?.", ":", "=", "=>", "!", "@", "#", "*", "<", ">", "++", "--", "~", "+", "-", "&", "|", "?"]
-_JS_MARK_RX = re.compile(_marks(*_JS_BIN, *(m for m in _JS_MARKS if m != "?.")))
+_JS_MARK_RX = re.compile(r"\?\.(?!\d)|" + _marks(*_JS_BIN, *(m for m in _JS_MARKS if m != "?.")))
 _JS = _compile(
-    ("nl", r"[\r\n]\s*"), ("name", _NAME), ("com", r"//[^\n\r\u2028\u2029]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"), ("mark", _JS_MARK_RX.pattern + "(?!(?<=\\.)\\d)"), ("num", f"(?:{_JS_NUM})(?![\\w$])"), ("str", _JS_STR),
-    ("tpl", r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)"), ("priv", "#" + _NAME), ("ws", r"[\v\f\u00a0\ufeff\u2028\u2029\u2000-\u200a\u3000]+"), blanks="[ \\t]*",
+    ("nl", r"[\r\n]\s*"), ("name", _NAME), ("com", r"//[^\n\r\u2028\u2029]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"), ("priv", "#" + _NAME), ("mark", _JS_MARK_RX.pattern + "(?!(?<=\\.)\\d)"), ("num", f"(?:{_JS_NUM})(?![\\w$])"), ("str", _JS_STR),
+    ("tpl", r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)"), ("ws", r"[\v\f\u00a0\ufeff\u2028\u2029\u2000-\u200a\u3000]+"), blanks="[ \\t]*",
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-zA-Z]*(?![\w$])")
 _JS_TPL_REST = re.compile(r"\}(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)")
@@ -116,7 +130,7 @@ _OPTIONAL = re.compile(r"\?(?=\s*[:,)=;\]}]|\(|<|\s*\n\s*(?:[\w$\[}'\"*/@]))")
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "instanceof", "do", "else", "await", "yield", "extends", "default"}
 
 
-def lex_javascript(text: str, types: bool = False) -> list[int]:
+def lex_javascript(text: str, types: bool = False, trace: Trace | None = None) -> list[int]:
     g = grammars.javascript(types)
     ids, words, n = g.ids, g.words, len(text)
     NAME, NUM, STR, BINOP = ids["NAME"], ids["NUM"], ids["STR"], ids["BINOP"]
@@ -131,12 +145,17 @@ def lex_javascript(text: str, types: bool = False) -> list[int]:
     while pos < n:
         m = match(text, pos)
         if m is None:
-            return [*out, BAD]
+            if trace is None:
+                return [*out, BAD]
+            pos += 1
+            continue
         kind, end = m.lastgroup, m.end()
         if kind == "nl":
             flag, pos = BREAK, end
             continue
         if kind == "ws" or kind == "com" or kind == "end":
+            if trace is not None and kind == "com":
+                trace.notes.append((m.start(kind), end))
             if not flag and kind != "end" and ("\n" in m[0] or "\u2028" in m[0]):
                 flag = BREAK
             pos = max(end, pos + 1) if kind == "end" else end
@@ -149,15 +168,21 @@ def lex_javascript(text: str, types: bool = False) -> list[int]:
                 r = _JS_REGEX.match(text, m.start(kind))
                 if r:
                     t, v, end = ids["REGEX"], "/x/0", r.end()
-                elif last == "}":
+                elif last == "}" or trace is not None:
                     t = table[v]
                 else:
                     return [*out, BAD]
             elif v == "}" and frames and frames[-1] == "${":
                 r = _JS_TPL_REST.match(text, m.start(kind))
                 if r is None:
-                    return [*out, BAD]
+                    if trace is None:
+                        return [*out, BAD]
+                    frames.pop()
+                    pos = end
+                    continue
                 out.append(ids["}$"] | flag)
+                if trace is not None:
+                    trace.at += [pos] if r[0][-1] == "`" else [pos, pos, pos]
                 flag, end = 0, r.end()
                 if r[0][-1] == "`":
                     frames.pop()
@@ -185,10 +210,14 @@ def lex_javascript(text: str, types: bool = False) -> list[int]:
             t = ids["TPL"]
         else:
             out += [ids["TPLHEAD"] | flag, ids["${"]]
+            if trace is not None:
+                trace.at += [pos, pos]
             frames.append("${")
             flag, pos, last = 0, end, "${"
             continue
         out.append(t | flag)
+        if trace is not None:
+            trace.at.append(m.start(kind))
         flag, pos, last = 0, end, v
     return out
 
@@ -205,7 +234,7 @@ _GO = _compile(
 )
 
 
-def lex_go(text: str) -> list[int]:
+def lex_go(text: str, trace: Trace | None = None) -> list[int]:
     g = grammars.go()
     ids = g.ids
     table = {m: ids["BINOP"] for m in _GO_BIN} | {m: ids["ASSIGNOP"] for m in _GO_ASSIGN} | {m: ids[m] for m in _GO_MARKS} | {w: ids[w] for w in g.words}
@@ -213,9 +242,9 @@ def lex_go(text: str) -> list[int]:
     closing = {NAME, NUM, STR, ids["break"], ids["continue"], ids["fallthrough"], ids["return"], ids["++"], ids["--"], ids[")"], ids["]"], ids["}"]}
     out: list[int] = []
     pos, last = 0, 0
-    text = text.removeprefix("\ufeff")
-    for m in _GO.finditer(text):
-        if m.start() != pos:
+    pos += text.startswith("\ufeff")
+    for m in _GO.finditer(text, pos):
+        if m.start() != pos and trace is None:
             return [*out, BAD]
         pos = m.end()
         kind = m.lastgroup
@@ -223,14 +252,22 @@ def lex_go(text: str) -> list[int]:
             continue
         v = m[kind]
         if kind == "nl":
+            if trace is not None and v[0] == "/":
+                trace.notes.append((m.start(kind), pos))
             if last in closing and (v[0] == "\n" or "\n" in v):
                 out.append(SEMI)
                 last = SEMI
+                if trace is not None:
+                    trace.at.append(-1)
             continue
         last = table.get(v, NAME) if kind == "name" else NUM if kind == "num" else STR if kind == "str" else table[v]
         out.append(last)
+        if trace is not None:
+            trace.at.append(m.start(kind))
     if last in closing:
         out.append(SEMI)
+        if trace is not None:
+            trace.at.append(-1)
     return out if pos == len(text) else [*out, BAD]
 
 
@@ -247,7 +284,7 @@ _JAVA = _compile(
 _WILD = re.compile(r"\?\s*(?:>|,|extends\b|super\b)")
 
 
-def lex_java(text: str) -> list[int]:
+def lex_java(text: str, trace: Trace | None = None) -> list[int]:
     g = grammars.java()
     ids = g.ids
     table = {m: ids["BINOP"] for m in _JAVA_BIN} | {m: ids[m] for m in _JAVA_MARKS} | {w: ids[w] for w in g.words}
@@ -255,12 +292,16 @@ def lex_java(text: str) -> list[int]:
     out: list[int] = []
     pos, last = 0, ""
     for m in _JAVA.finditer(text):
-        if m.start() != pos:
+        if m.start() != pos and trace is None:
             return [*out, BAD]
         pos = m.end()
         kind = m.lastgroup
         if kind == "ws" or kind == "end":
+            if trace is not None and kind == "ws":
+                trace.notes.append((m.start(kind), pos))
             continue
+        if trace is not None:
+            trace.at.append(m.start(kind))
         v = m[kind]
         if kind == "name":
             out.append(table.get(v, WORD))
@@ -275,7 +316,7 @@ def lex_java(text: str) -> list[int]:
 # ---------------------------------------------------------------- rust
 
 _RUST_MARKS = ["{", "}", "(", ")", "[", "]", ";", ",", ".", "..", "...", "..=", ":", "::", "=", "=>", "->", "#", "!", "@", "?", "~", "*", "-", "+", "&", "&&", "|", "||", "<", ">"]
-_RUST_BIN = ["/", "%", "^", "<<", "==", "!=", "<=", ">=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="]
+_RUST_BIN = ["/", "%", "^", "==", "!=", "<=", ">=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="]
 _RUST = _compile(
     ("ws", r"//[^\n]*"), ("open", r"/\*"), ("str", r'(?:b|c)?"(?:[^"\\]|\\[\s\S])*"|b?\'(?:[^\'\\\n]|\\(?:[nrt0\\\'"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))\''), ("raw", r'(?:b|c)?r(?P<hash>#*)"'), ("life", r"'(?:r#)?[^\W\d]\w*(?!')"),
     ("num", r"(?:0x[0-9a-fA-F_]+|0o[0-7_]+|0b[01_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][-+]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f(?:16|32|64|128))?(?!\w)"), ("name", r"r#[^\W\d]\w*|[^\W\d]\w*"), ("mark", _marks(*_RUST_MARKS, *_RUST_BIN)), ("dollar", r"\$|\\|`|%"), blanks=r"\s*",
@@ -283,7 +324,7 @@ _RUST = _compile(
 _RUST_COMMENT = re.compile(r"/\*|\*/")
 
 
-def lex_rust(text: str) -> list[int]:
+def lex_rust(text: str, trace: Trace | None = None) -> list[int]:
     g = grammars.rust()
     ids = g.ids
     table = {m: ids["BINOP"] for m in _RUST_BIN} | {m: ids[m] for m in _RUST_MARKS} | {w: ids[w] for w in g.words}
@@ -296,25 +337,40 @@ def lex_rust(text: str) -> list[int]:
     while pos < n:
         m = match(text, pos)
         if m is None:
-            return [*out, BAD]
+            if trace is None:
+                return [*out, BAD]
+            pos += 1
+            continue
         kind, end = m.lastgroup, m.end()
         if kind == "open":
             depth = 1
             while depth:
                 c = _RUST_COMMENT.search(text, end)
                 if c is None:
-                    return [*out, BAD]
+                    if trace is None:
+                        return [*out, BAD]
+                    end = n
+                    break
                 depth += 1 if c[0] == "/*" else -1
                 end = c.end()
+            if trace is not None:
+                trace.notes.append((m.start(kind), end))
         elif kind == "raw" or kind == "hash":
             close = text.find('"' + m["hash"], end)
             if close < 0:
-                return [*out, BAD]
+                if trace is None:
+                    return [*out, BAD]
+                close = n
             end = close + 1 + len(m["hash"])
             out.append(STR)
+            if trace is not None:
+                trace.at.append(m.start("raw"))
         elif kind == "end":
             break
-        elif kind != "ws":
+        elif kind == "ws":
+            if trace is not None:
+                trace.notes.append((m.start(kind), end))
+        else:
             v = m[kind]
             if kind == "num" and last == ids["."] and "." in v:  # tuple fields: x.0.1
                 parts = v.split(".")
@@ -323,6 +379,8 @@ def lex_rust(text: str) -> list[int]:
             else:
                 out.append(table.get(v, NAME) if kind == "name" else NUM if kind == "num" else STR if kind == "str" else LIFE if kind == "life" else table[v] if kind == "mark" else ids["#"])
             last = out[-1]
+            if trace is not None:
+                trace.at += [m.start(kind)] * (len(out) - len(trace.at))
         pos = end
     return out
 
@@ -380,7 +438,7 @@ def _format_string_end(text: str, pos: int, quote: str) -> int:
 _PY_BLANKS = re.compile(r"[ \t\f]*")
 
 
-def lex_python(text: str) -> list[int]:
+def lex_python(text: str, trace: Trace | None = None) -> list[int]:
     g = grammars.python()
     ids = g.ids
     table = {m: ids["BINOP"] for m in _PY_BIN} | {m: ids["AUG"] for m in _PY_AUG} | {m: ids[m] for m in _PY_MARKS} | {w: ids[w] for w in g.words}
@@ -403,13 +461,21 @@ def lex_python(text: str) -> list[int]:
                         indents.pop()
                         out.append(DEDENT)
                     if width != indents[-1]:
-                        return [*out, BAD]
+                        if trace is None:
+                            return [*out, BAD]
+                        indents.append(width)
+                        out.append(INDENT)
             pos, line_start = m.end(), False
             if pos >= n:
                 break
         m = match(text, pos)
+        if trace is not None:
+            trace.at += [-1] * (len(out) - len(trace.at))
         if m is None:
-            return [*out, BAD]
+            if trace is None:
+                return [*out, BAD]
+            pos += 1
+            continue
         kind, end = m.lastgroup, m.end()
         if kind == "nl":
             if not depth:
@@ -419,11 +485,16 @@ def lex_python(text: str) -> list[int]:
         elif kind in ("f", "quote"):
             end = _format_string_end(text, end, m["quote"])
             if end < 0:
-                return [*out, BAD]
+                if trace is None:
+                    return [*out, BAD]
+                end = m.end()
             out.append(STR)
         elif kind == "end":
             break
-        elif kind != "ws":
+        elif kind == "ws":
+            if trace is not None and m[kind][0] == "#":
+                trace.notes.append((m.start(kind), end))
+        else:
             v = m[kind]
             if kind == "mark":
                 if v in "([{":
@@ -433,16 +504,29 @@ def lex_python(text: str) -> list[int]:
                 out.append(table[v])
             else:
                 out.append(table.get(v, NAME) if kind == "name" else NUM if kind == "num" else STR if kind == "str" else ids["ELLIPSIS"])
+        if trace is not None and len(trace.at) < len(out):
+            trace.at.append(m.start(kind) if kind != "nl" else -1)
         pos = end
     if out and out[-1] not in (NL, DEDENT):
         out.append(NL)
     return out + [DEDENT] * (len(indents) - 1)
 
 
-LEXERS: dict[str, Callable[[str], list[int]]] = {
-    "json": lex_json, "toml": lex_toml, "javascript": lex_javascript, "typescript": lambda t: lex_javascript(t, True), "go": lex_go, "java": lex_java, "rust": lex_rust, "python": lex_python,
+def lex_typescript(text: str, trace: Trace | None = None) -> list[int]:
+    return lex_javascript(text, True, trace)
+
+
+LEXERS: dict[str, Callable[..., list[int]]] = {
+    "json": lex_json, "toml": lex_toml, "javascript": lambda t, trace=None: lex_javascript(t, False, trace), "typescript": lex_typescript, "go": lex_go, "java": lex_java, "rust": lex_rust, "python": lex_python,
 }
 
 
 def tokens(language: str, text: str) -> list[int]:
     return LEXERS[language](text)
+
+
+def traced(language: str, text: str) -> tuple[list[int], Trace]:
+    trace = Trace()
+    out = LEXERS[language](text, trace=trace)
+    trace.at += [-1] * (len(out) - len(trace.at))
+    return out, trace
