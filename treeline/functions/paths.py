@@ -124,7 +124,7 @@ def resolve_relative(folder: Column, target: Column) -> Column:
     stack = F.aggregate(
         F.filter(F.split(whole, "/"), lambda x: (x != "") & (x != ".")),
         F.array().cast("array<string>"),
-        lambda acc, x: F.when(x != "..", F.concat(acc, F.array(x))).when(F.size(acc) == 0, F.array(F.lit("\0"))).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))),
+        lambda acc, x: F.when(F.array_contains(acc, "\0"), acc).when(x != "..", F.concat(acc, F.array(x))).when(F.size(acc) == 0, F.array(F.lit("\0"))).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))),
     )
     outside = target.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)") | target.contains("${") | F.array_contains(stack, "\0")
     return F.when(~outside, F.array_join(stack, "/"))
