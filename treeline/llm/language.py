@@ -27,7 +27,7 @@ LANGUAGES = [x for f in FAMILIES.values() for x in f]
 PAIRS = [p for f in FAMILIES.values() for p in itertools.combinations(f, 2)]
 FAMILY_OF = {x: f for f, xs in FAMILIES.items() for x in xs}
 
-SAMPLE_PER_LANGUAGE = 300  # documents a language gives to the training sample, about
+SAMPLE_PER_LANGUAGE = 200  # documents a language gives to the training sample, about
 SAMPLE_PARAGRAPHS = 4  # paragraphs taken of each
 DIM = 1 << 16
 NGRAMS = (1, 2, 3, 4)
@@ -152,14 +152,14 @@ def train_svm(bags: list, sign: np.ndarray, epochs: int = 4, lam: float = 1e-4,
 class Model:
     """Scores of words under all linear models: one per family, one per pair of languages in a family."""
 
-    def __init__(self, samples: list[tuple[str, list[str]]]):
+    def __init__(self, samples: list[tuple[str, list[str]]], epochs: int = 4):
         bags = [bag(w) for _, w in samples]
         lang = np.array([x for x, _ in samples])
         family = np.array([FAMILY_OF[x] for x in lang])
-        columns = [train_svm(bags, np.where(family == f, 1.0, -1.0)) for f in FAMILIES]
+        columns = [train_svm(bags, np.where(family == f, 1.0, -1.0), epochs) for f in FAMILIES]
         for a, b in PAIRS:
             own = np.flatnonzero((lang == a) | (lang == b))
-            columns.append(train_svm([bags[i] for i in own], np.where(lang[own] == a, 1.0, -1.0)))
+            columns.append(train_svm([bags[i] for i in own], np.where(lang[own] == a, 1.0, -1.0), epochs))
         self.weights = np.stack([w for w, _ in columns], 1).astype(np.float32)
         self.bias = np.array([b for _, b in columns], np.float32)
         self.cache: dict[str, tuple[np.ndarray, int]] = {}
@@ -236,7 +236,7 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
 
 def fit(samples: list[tuple[str, list[str]]]) -> Model:
     """Train, drop the paragraphs whose label the model contradicts (wrong labels, foreign passages), train again."""
-    first = Model(samples)
+    first = Model(samples, epochs=2)
     kept = [(lang, w) for lang, w in samples if first.predict(w)[0] == lang]
     return Model(kept if {lang for lang, _ in kept} == set(LANGUAGES) else samples)
 
@@ -277,7 +277,7 @@ def label_documents(documents: DataFrame, model: Model) -> DataFrame:
                 code = label_code(lang)
                 state = "mixed" if len(segs) > 1 else "missing" if code is None else "right" if segs and segs[0][0] == code else "wrong"
                 rows += [(doc, i, s, sure, n, state) for i, (s, sure, n) in enumerate(segs, 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "seg_no", "lang", "confidence", "words", "label_state"])
+            yield pd.DataFrame(rows, columns=["doc_id", "seg_no", "lang", "confidence", "words", "label_state"], dtype=object)
 
     docs = documents.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND length(text) > 0")
     return docs.mapInPandas(label, "doc_id bigint, seg_no int, lang string, confidence double, words bigint, label_state string")

@@ -67,7 +67,7 @@ def opening(text: str) -> str:
     """The comment (or a JSON file's comment entry) that opens the text, quotations removed, lower case, on one line."""
     note = _JSON_NOTE.match(text)
     lead = note[1] if note else _LEAD.match(text)[0]
-    return _SPACES.sub(" ", _QUOTED.sub(" ", lead)).lower().strip() if lead else ""
+    return _SPACES.sub(" ", _QUOTED.sub(" ", lead.replace('"""', " "))).lower().strip() if lead else ""
 
 
 def automaton():
@@ -170,7 +170,7 @@ def text_reasons(files: DataFrame) -> DataFrame:
                 if reason:
                     keys.append(fk)
                     why.append(reason)
-            yield pd.DataFrame({"fk": keys, "text_reason": why})
+            yield pd.DataFrame({"fk": keys, "text_reason": why}, dtype=object)
 
     return files.mapInPandas(scan, "fk binary, text_reason string")
 

@@ -97,7 +97,7 @@ def invalid_texts(files: DataFrame) -> DataFrame:
                     reason, pairs = judge(language, text)
                     if reason or pairs:
                         rows.append((fk, language, reason, [*pairs, 0] if reason else pairs))
-            yield pd.DataFrame(rows, columns=["fk", "language", "reason", "pairs"])
+            yield pd.DataFrame(rows, columns=["fk", "language", "reason", "pairs"], dtype=object)
 
     known = files.where(extension().isin(list(EXTENSIONS)))
     lexed = known.mapInPandas(scan, "fk binary, language string, reason string, pairs array<int>")
