@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from treeline.sources.tables import written
+
 FANOUT_BITS = 8
 DEPTH = 2
 ROWS_PER_LEAF = 256
@@ -50,9 +52,10 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: lis
     snaps = snaps.withColumn("level", leaf_level(F.max("row_count").over(size)))
     slim = rows.select("snapshot", F.col(key).alias("k"), F.xxhash64(*map(_word, state)).alias("v")).dropna(subset=["snapshot", "k"])
     slim = slim.join(snaps.select("snapshot", "series", "level"), "snapshot").withColumn("h", F.xxhash64("k"))
-    # The only exchange of whole rows: everything below is grouped within (series, leaf).
+    # Rows come together by (series, leaf) once and are kept that way: digests read few columns of the written
+    # table and combine before their exchange, and only leaves that differ are read for the comparison of rows.
     slim = slim.withColumn("leaf", _range_of("h", "level")).repartition("series", "leaf")
-    slim = slim.groupBy("series", "leaf", "snapshot", "k").agg(F.max("v").alias("v"), F.first("level").alias("level"))
+    slim = written(slim.groupBy("series", "leaf", "snapshot", "k").agg(F.max("v").alias("v"), F.first("level").alias("level")))
 
     mixed = F.xxhash64("k", "v")
     leaves = slim.groupBy("series", "leaf", "snapshot").agg(
@@ -90,7 +93,9 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: lis
         below = compared.where(F.col("at") == depth).withColumn("parent", F.floor(F.col("node") / (1 << FANOUT_BITS)).cast("int"))
         frontier = below.join(frontier.select("series", "later", F.col("node").alias("parent")), ["series", "later", "parent"], "left_semi").drop("parent")
         leaf_hits = leaf_hits.unionByName(frontier.where(F.col("level") == depth))
+    # Written too, so that its size is known when the rows are joined: a small one is sent to them.
     wanted = leaf_hits.select("series", "later", F.col("node").alias("leaf")).join(sides, ["series", "later"])
+    wanted = written(wanted)
     state_on = lambda sign: F.max(F.when(F.col("sign") == sign, F.col("v")))
     both = slim.join(wanted, ["series", "leaf", "snapshot"]).groupBy("later", "k").agg(state_on(-1).alias("was"), state_on(1).alias("now"))
     kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")

@@ -95,7 +95,7 @@ def worktree_changes(spark: SparkSession, root: str) -> DataFrame:
     )
     meta = table(spark, root, "snapshot_metadata", "snapshot_id", "project_instance_id", "registration_id", "source_generation", "row_count").select(
         F.col("snapshot_id").alias("snapshot"),
-        F.struct(hex_key("project_instance_id").alias("p"), F.col("registration_id").alias("r")).alias("series"),
+        F.struct(F.xxhash64(hex_key("project_instance_id")).alias("p"), F.col("registration_id").alias("r")).alias("series"),
         F.col("source_generation").alias("seq"),
         "row_count",
     )
