@@ -12,6 +12,7 @@ or a set of classes, ``P:a,b`` a group in round brackets that is of kind a or b
 
 from __future__ import annotations
 
+MAX_STATES = 50_000
 BREAK = 1 << 12  # flag of a token that begins a line, where line ends can close statements
 # Opening and closing token of each kind of group: three brackets, then groups of single languages (conditional
 # expression between ? and :, code in a template, indented suite, lambda parameters).
@@ -41,6 +42,13 @@ class Grammar:
         for k in kinds:
             self.start.setdefault(k.split(":")[0], []).append(self.rules[k][0])
         self._free: dict[int, tuple] = {}
+        self.opens = {self.ids[o]: b for b, (o, _) in FRAMES.items() if b in self.start}
+        self.closes = {self.ids[c]: b for b, (_, c) in FRAMES.items() if b in self.start and b not in "QL"}
+        self.colon = self.ids.get(":", -1) if {"Q", "L"} & set(self.start) else -1
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no states; those of unusual texts would else pile up in a worker that lives long."""
         self.stacks: list[tuple[int, int]] = [(-1, -1)]
         self._stack_of: dict[tuple[int, int], int] = {}
         self.number: dict[frozenset, int] = {}
@@ -50,9 +58,6 @@ class Grammar:
         self.accepts: list[int | None] = []
         self.labels: dict[frozenset, int] = {}
         self.label_kinds: list[frozenset] = []
-        self.opens = {self.ids[o]: b for b, (o, _) in FRAMES.items() if b in self.start}
-        self.closes = {self.ids[c]: b for b, (_, c) in FRAMES.items() if b in self.start and b not in "QL"}
-        self.colon = self.ids.get(":", -1) if {"Q", "L"} & set(self.start) else -1
         self.begin = {b: self._state({(x, 0) for x in starts}) for b, starts in self.start.items()}
 
     # ------------------------------------------------------------- building
@@ -292,6 +297,8 @@ class Grammar:
 
     def check(self, tokens: list[int]) -> str | None:
         """None if the tokens form a text of the language, else 'nesting' or 'production'."""
+        if len(self.states) > MAX_STATES:
+            self._forget()
         moves, opens, closes, colon, begin = self.moves, self.opens, self.closes, self.colon, self.begin
         stack: list[tuple[int, str]] = []
         state, inside = begin["F"], "F"
