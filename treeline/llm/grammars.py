@@ -290,10 +290,11 @@ def python() -> Grammar:
         "primary": "( NAME | NUM | STR+ | True | False | None | ELLIPSIS | P:tuple | B:list | C:set | yield from? | yield )",
         "post": "( '. NAME | P:args | B:index )",
         "operand": "@prefix* ( yield from? )? ( UNARY | not | await | L:lambda )* @primary @post*",
-        "expr": "@operand ( ( BIN | is not? | not in | in | if | else | ':= ) @operand )*",
+        "flat": "@operand ( ( BIN | is not? | not in | in | ':= ) @operand )*",
+        "expr": "@flat ( if @flat else @expr )?",
         "star": "( '* )? @expr",
         "exprs": "@star ( ', @star )* ( ', )?",
-        "comp": "( async? for @exprs )+",
+        "comp": "( async? for @exprs ( if @flat )* )+",
         "simple": "( @exprs ( ': @expr )? ( ASSIGN @exprs )* | del @exprs | pass | break | continue | return @exprs? | raise ( @expr ( from @expr )? )? | global NAME ( ', NAME )* | nonlocal NAME ( ', NAME )* | assert @expr ( ', @expr )? "
         "| import @dotted ( as NAME )? ( ', @dotted ( as NAME )? )* | from ( '. | ELLIPSIS )* @dotted? import ( '* | NAME ( as NAME )? ( ', NAME ( as NAME )? )* | P:names ) | NAME NAME ( B:index )? '= @exprs )",
         "dotted": "NAME ( '. NAME )*",
