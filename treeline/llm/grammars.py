@@ -77,16 +77,21 @@ def javascript(types: bool = False) -> Grammar:
     r["template"] = "( TPL | TPLHEAD T:exprs ( TPLMID T:exprs )* TPLEND )"
     r["primary"] = f"( ID | NUM | STR | REGEX | this | super | null | true | false | import | yield | @template | PRIV | P:exprs | B:array | C:object | @func C:block | @deco {ts('abstract?')} @class | @heads C:block | new '. ID )"
     r["post"] = f"( ( '. | '?. ) ( PROP | PRIV ) | ( '?. )? P:args | ( '?. )? B:exprs | @template | FIX {ts(chr(124) + ' (' + ' as | satisfies ) @type | ' + chr(39) + '! | @targs')} )"
+    r["named"] = r["func"].replace("( ID | yield | await )?", "( ID | yield | await )")
+    r["namedclass"] = r["class"].replace("class ( ID )?", "class ID")
+    r["first"] = r["primary"].replace("| C:object ", "").replace("| @func C:block ", "").replace(f"| @deco {ts('abstract?')} @class ", "")
     prefix = f"( UNARY | new | yield ( '* )? | @heads {ts('| @targs')} )*"
     operand = f"{prefix} @primary @post*"
     r["expr"] = f"{operand} ( ( BIN | '> '> ( '> )? | Q:expr ) {operand} )*"
     r["exprs"] = "@expr ( ', @expr )*"
+    some = prefix[:-1] + "+"
+    r["exprstmt"] = f"( {some} @primary | @first ) @post* ( ( BIN | '> '> ( '> )? | Q:expr ) {operand} )* ( ', @expr )*"
     r["var"] = f"( const @bind {ts(chr(39) + '!?'.replace('?', '')) and ''} {ann} '= @expr ( ', @bind {ann} '= @expr )* | DECL @bind {ts('( ! )?'.replace('!', chr(39) + '!'))} {ann} ( '= @expr )? ( ', @bind {ts('( ! )?'.replace('!', chr(39) + '!'))} {ann} ( '= @expr )? )* )"
     r["prefix"] = "( for await? P:for | while P:exprs | with P:exprs | do | ID ': )"
     r["core"] = (
-        "( C:block | '; | @var SEMI | @exprs SEMI | return @exprs? SEMI | throw @exprs SEMI | break ( ID )? SEMI | continue ( ID )? SEMI | debugger SEMI | @func C:block | @deco "
-        + ts("abstract? ") + "@class | try C:block ( catch ( P:params )? C:block )? ( finally C:block )? | switch P:exprs C:cases "
-        + ts("| @decls | @func SEMI ") + ")"
+        "( C:block | '; | @var SEMI | @exprstmt SEMI | return @exprs? SEMI | throw @exprs SEMI | break ( ID )? SEMI | continue ( ID )? SEMI | debugger SEMI | @named C:block | @deco "
+        + ts("abstract? ") + "@namedclass | try C:block ( catch ( P:params )? C:block )? ( finally C:block )? | switch P:exprs C:cases "
+        + ts("| @decls | @named SEMI ") + ")"
     )
     if types:
         r["decls"] = (
@@ -97,7 +102,7 @@ def javascript(types: bool = False) -> Grammar:
     r["import"] = f"import ( STR | {ts('type?')} ( ID ( ', ( C:specs | '* as ID ) )? | C:specs | '* as ID ) from STR ) ( with C:object )? SEMI" + ts(" | import ID '= ( ID P:args | ID ( '. ID )* ) SEMI")
     r["export"] = (
         f"@deco export ( default ( @exprs SEMI | @func C:block | @deco {ts('abstract?')} @class {ts('| interface ID C:tobj | @func SEMI')} ) | {ts('type?')} C:specs ( from STR ( with C:object )? )? SEMI | {ts('type?')} '* ( as ( PROP | STR ) )? from STR SEMI "
-        f"| @var SEMI | @func C:block | @deco {ts('abstract?')} @class {ts('| @decls | @func SEMI | ' + chr(39) + '= @exprs SEMI | as namespace ID SEMI | import ID ' + chr(39) + '= @exprs SEMI')} )"
+        f"| @var SEMI | @named C:block | @deco {ts('abstract?')} @namedclass {ts('| @decls | @func SEMI | ' + chr(39) + '= @exprs SEMI | as namespace ID SEMI | import ID ' + chr(39) + '= @exprs SEMI')} )"
     )
     name = "( PROP | STR | NUM | B:exprs,expr | PRIV )"
     member = f"MOD* ( '* )? {name} ( @opt {ts('@tparams?')} P:params {ann} ( C:block {ts('| SEMI')} ) | @opt {ann} ( '= @expr )? SEMI )"
@@ -294,14 +299,16 @@ def python() -> Grammar:
         "expr": "@flat ( if @flat else @expr )?",
         "star": "( '* )? @expr",
         "exprs": "@star ( ', @star )* ( ', )?",
-        "comp": "( async? for @exprs ( if @flat )* )+",
-        "simple": "( @exprs ( ': @expr )? ( ASSIGN @exprs )* | del @exprs | pass | break | continue | return @exprs? | raise ( @expr ( from @expr )? )? | global NAME ( ', NAME )* | nonlocal NAME ( ', NAME )* | assert @expr ( ', @expr )? "
-        "| import @dotted ( as NAME )? ( ', @dotted ( as NAME )? )* | from ( '. | ELLIPSIS )* @dotted? import ( '* | NAME ( as NAME )? ( ', NAME ( as NAME )? )* | P:names ) | NAME NAME ( B:index )? '= @exprs )",
+        "comp": "( async? for @targets in @exprs ( if @flat )* )+",
+        "target": "( '* )? ( NAME | P:tuple | B:list | @primary @post* ( '. NAME | B:index ) )",
+        "targets": "@target ( ', @target )* ( ', )?",
+        "simple": "( ( @targets '= )* @exprs | @target AUG @exprs | @target ': @expr ( '= @exprs )? | del @exprs | pass | break | continue | return @exprs? | raise ( @expr ( from @expr )? )? | global NAME ( ', NAME )* | nonlocal NAME ( ', NAME )* | assert @expr ( ', @expr )? "
+        "| import @dotted ( as NAME )? ( ', @dotted ( as NAME )? )* | from ( '. | ELLIPSIS )* @dotted? import ( '* | NAME ( as NAME )? ( ', NAME ( as NAME )? )* | P:names ) | type NAME ( B:params )? '= @exprs )",
         "dotted": "NAME ( '. NAME )*",
         "line": "@simple ( '; @simple )* ( '; )? NL",
         "suite": "': ( @line | NL INDENTED )".replace("INDENTED", "I:suite"),
         "stmt": "( @line | NL | ( '@ @expr NL )* ( async? def NAME ( B:params )? P:params ( '-> @expr )? @suite | class NAME ( B:params )? ( P:args )? @suite ) "
-        "| ( if | elif | while ) @expr @suite | else @suite | try @suite | finally @suite | except ( '* )? ( @exprs ( as NAME )? )? @suite | async? for @exprs @suite | async? with @items @suite | NAME @exprs ( if @expr )? ': NL I:suite | NAME @exprs ( as NAME )? ( if @expr )? ': @line )",
+        "| ( if | elif | while ) @expr @suite | else @suite | try @suite | finally @suite | except ( '* )? ( @exprs ( as NAME )? )? @suite | async? for @targets in @exprs @suite | async? with @items @suite | match @exprs ': NL I:suite | case @exprs ( as NAME )? ( if @expr )? @suite )",
         "items": "( P:items | @expr ( as @expr )? ( ', @expr ( as @expr )? )* )",
     }
     arg = "( NAME '= @expr | ( '* | '** )? @expr ) ( @comp )?"
@@ -312,5 +319,5 @@ def python() -> Grammar:
         "C:set": "( @exprs | @star @comp | ( @expr ': @expr | '** @expr ) ( ', ( @expr ': @expr | '** @expr ) )* ( ', )? | @expr ': @expr @comp )?", "P:params": f"( {par} ( ', {par} )* ( ', )? )?", "L:lambda": f"( ( ( '* | '** )? NAME ( '= @expr )? | '* | '/ ) ( ', ( ( '* | '** )? NAME ( '= @expr )? | '* | '/ ) )* ( ', )? )?",
         "B:params": "( ( '* | '** )? NAME ( ': @expr )? ( '= @expr )? ( ', ( '* | '** )? NAME ( ': @expr )? ( '= @expr )? )* ( ', )? )?",
     }
-    sets = {"UNARY": "- + ~", "BIN": "BINOP * ** - + / and or", "ASSIGN": "= AUG"}
-    return Grammar(_PY_WORDS, "{ } ( ) [ ] INDENT DEDENT ; , . : = := -> @ * ** - + / ~", "NAME NUM STR ELLIPSIS BINOP AUG NL", sets, r, kinds)
+    sets = {"NAME": "WORD match case type", "UNARY": "- + ~", "BIN": "BINOP * ** - + / and or"}
+    return Grammar(_PY_WORDS + " match case type", "{ } ( ) [ ] INDENT DEDENT ; , . : = := -> @ * ** - + / ~", "WORD NUM STR ELLIPSIS BINOP AUG NL", sets, r, kinds)

@@ -442,7 +442,7 @@ def lex_python(text: str, trace: Trace | None = None) -> list[int]:
     g = grammars.python()
     ids = g.ids
     table = {m: ids["BINOP"] for m in _PY_BIN} | {m: ids["AUG"] for m in _PY_AUG} | {m: ids[m] for m in _PY_MARKS} | {w: ids[w] for w in g.words}
-    NAME, NUM, STR, NL, INDENT, DEDENT = (ids[x] for x in ("NAME", "NUM", "STR", "NL", "INDENT", "DEDENT"))
+    NAME, NUM, STR, NL, INDENT, DEDENT = (ids[x] for x in ("WORD", "NUM", "STR", "NL", "INDENT", "DEDENT"))
     out: list[int] = []
     indents, depth, pos, n, match = [0], 0, 0, len(text), _PY.match
     pos += text.startswith("\ufeff")
