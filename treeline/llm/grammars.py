@@ -292,14 +292,14 @@ _PY_WORDS = "False None True and as assert async await break class continue def
 def python() -> Grammar:
     r = {
         "prefix": "( UNARY | not | await | lambdaX )".replace("lambdaX", "L:lambda"),
-        "primary": "( NAME | NUM | STR+ | True | False | None | ELLIPSIS | P:tuple | B:list | C:set | yield from? | yield )",
+        "primary": "( NAME | NUM | ( STR | FSTR T:field* )+ | True | False | None | ELLIPSIS | P:tuple | B:list | C:set | yield from? | yield )",
         "post": "( '. NAME | P:args | B:index )",
         "operand": "@prefix* ( yield from? )? ( UNARY | not | await | L:lambda )* @primary @post*",
         "flat": "@operand ( ( BIN | is not? | not in | in | ':= ) @operand )*",
         "expr": "@flat ( if @flat else @expr )?",
         "star": "( '* )? @expr",
         "exprs": "@star ( ', @star )* ( ', )?",
-        "comp": "( async? for @targets in @exprs ( if @flat )* )+",
+        "comp": "( async? for @targets in @flat ( if @flat )* )+",
         "target": "( '* )? ( NAME | P:tuple | B:list | @primary @post* ( '. NAME | B:index ) )",
         "targets": "@target ( ', @target )* ( ', )?",
         "simple": "( ( @targets '= )* @exprs | @target AUG @exprs | @target ': @expr ( '= @exprs )? | del @exprs | pass | break | continue | return @exprs? | raise ( @expr ( from @expr )? )? | global NAME ( ', NAME )* | nonlocal NAME ( ', NAME )* | assert @expr ( ', @expr )? "
@@ -307,17 +307,29 @@ def python() -> Grammar:
         "dotted": "NAME ( '. NAME )*",
         "line": "@simple ( '; @simple )* ( '; )? NL",
         "suite": "': ( @line | NL INDENTED )".replace("INDENTED", "I:suite"),
-        "stmt": "( @line | NL | ( '@ @expr NL )* ( async? def NAME ( B:params )? P:params ( '-> @expr )? @suite | class NAME ( B:params )? ( P:args )? @suite ) "
-        "| ( if | elif | while ) @expr @suite | else @suite | try @suite | finally @suite | except ( '* )? ( @exprs ( as NAME )? )? @suite | async? for @targets in @exprs @suite | async? with @items @suite | match @exprs ': NL I:suite | case @exprs ( as NAME )? ( if @expr )? @suite )",
+        "stmt": "( @line | NL | ( '@ @expr NL )* ( async? def NAME ( B:params )? P:params ( '-> @expr )? @suite | class NAME ( B:params )? ( P:args )? @suite ) | if @expr @suite ( elif @expr @suite )* @else? | while @expr @suite @else? "
+        "| async? for @targets in @exprs @suite @else? | try @suite ( ( except ( @expr ( as NAME )? )? @suite )+ @else? @finally? | ( except '* @expr ( as NAME )? @suite )+ @else? @finally? | @finally ) | async? with @items @suite | match @exprs ': NL I:cases )",
+        "else": "else @suite",
+        "finally": "finally @suite",
         "items": "( P:items | @expr ( as @expr )? ( ', @expr ( as @expr )? )* )",
     }
-    arg = "( NAME '= @expr | ( '* | '** )? @expr ) ( @comp )?"
-    par = "( ( '* | '** )? NAME ( ': @star )? ( '= @expr )? | '* | '/ )"
+    # Positional arguments come before named ones, only ** and named ones after **; a generator stands alone.
+    named, doubled = "( NAME '= @expr | '* @expr )", "( NAME '= @expr | '** @expr )"
+    named = f"( {named} ( ', {named} )* ( ', {doubled} ( ', {doubled} )* )? | {doubled} ( ', {doubled} )* )"
+
+    def params(one: str, rest: str) -> str:
+        """Parameters in their order: without and with default, at most one /, then * or *rest, named ones, **."""
+        default, key = f"{one} '= @expr", f"', {one} ( '= @expr )?"
+        front = f"( {one} ( ', {one} )* ( ', '/ ( ', {one} )* )? ( ', {default} )* | ( {one} ', )* {default} ( ', {default} )* ( ', '/ ( ', {default} )* )? )"
+        back = f"( ( '* {rest} ( {key} )* | '* ( {key} )+ ) ( ', '** {one} )? | '** {one} )"
+        return f"( ( {front} ( ', {back} )? | {back} ) ( ', )? )?"
+
+    type_par = "( NAME ( ': @expr )? ( '= @expr )? | '* NAME ( '= @star )? | '** NAME ( '= @expr )? )"
     kinds = {
-        "F:file": "@stmt*", "I:suite": "@stmt+", "P:tuple": f"( @exprs | @star @comp | yield from? @exprs? | NAME as NAME )? ( as NAME ( ', )? )?", "P:args": f"( {arg} ( ', {arg} )* ( ', )? )?", "P:names": "NAME ( as NAME )? ( ', NAME ( as NAME )? )* ( ', )?",
+        "F:file": "@stmt*", "I:suite": "@stmt+", "I:cases": "( case @exprs ( as NAME )? ( if @expr )? @suite )+", "T:field": "@exprs ( '= )? CONV? ( FSPEC T:field* )?", "P:tuple": f"( @exprs | @star @comp | yield from? @exprs? | NAME as NAME )? ( as NAME ( ', )? )?", "P:args": f"( ( ( '* )? @expr ( ', ( '* )? @expr )* ( ', {named} )? | {named} ) ( ', )? | @expr @comp )?", "P:names": "NAME ( as NAME )? ( ', NAME ( as NAME )? )* ( ', )?",
         "P:items": "@expr ( as @expr )? ( ', @expr ( as @expr )? )* ( ', )?", "B:list": "( @exprs | @star @comp )?", "B:index": "( @star? ( ': @expr? )* ( ', @star? ( ': @expr? )* )* )",
-        "C:set": "( @exprs | @star @comp | ( @expr ': @expr | '** @expr ) ( ', ( @expr ': @expr | '** @expr ) )* ( ', )? | @expr ': @expr @comp )?", "P:params": f"( {par} ( ', {par} )* ( ', )? )?", "L:lambda": f"( ( ( '* | '** )? NAME ( '= @expr )? | '* | '/ ) ( ', ( ( '* | '** )? NAME ( '= @expr )? | '* | '/ ) )* ( ', )? )?",
-        "B:params": "( ( '* | '** )? NAME ( ': @expr )? ( '= @expr )? ( ', ( '* | '** )? NAME ( ': @expr )? ( '= @expr )? )* ( ', )? )?",
+        "C:set": "( @exprs | @star @comp | ( @expr ': @expr | '** @expr ) ( ', ( @expr ': @expr | '** @expr ) )* ( ', )? | @expr ': @expr @comp )?", "P:params": params("NAME ( ': @expr )?", "NAME ( ': @star )?"), "L:lambda": params("NAME", "NAME"),
+        "B:params": f"{type_par} ( ', {type_par} )* ( ', )?",
     }
     sets = {"NAME": "WORD match case type", "UNARY": "- + ~", "BIN": "BINOP * ** - + / and or"}
-    return Grammar(_PY_WORDS + " match case type", "{ } ( ) [ ] INDENT DEDENT ; , . : = := -> @ * ** - + / ~", "WORD NUM STR ELLIPSIS BINOP AUG NL", sets, r, kinds)
+    return Grammar(_PY_WORDS + " match case type", "{ } ( ) [ ] ${ }$ INDENT DEDENT ; , . : = := -> @ * ** - + / ~", "WORD NUM STR FSTR FSPEC CONV ELLIPSIS BINOP AUG NL", sets, r, kinds)

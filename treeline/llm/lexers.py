@@ -436,13 +436,99 @@ def _format_string_end(text: str, pos: int, quote: str) -> int:
 
 
 _PY_BLANKS = re.compile(r"[ \t\f]*")
+_PY_PLAIN = re.compile(r"[^\\{}\"'\n]+")
+_PY_CONVERSION = re.compile(r"[ \t\f]*![rsa](?=\s*[:}])")
+
+
+def _format_string(text: str, pos: int, quote: str, raw: bool, table: dict[str, int], ids: dict[str, int], out: list[int]) -> int:
+    """Lexes a formatted string whose text begins at ``pos``; its fields are groups in ``out``. Its end, or -1."""
+    n = len(text)
+    while pos < n:
+        m = _PY_PLAIN.match(text, pos)
+        if m:
+            pos = m.end()
+            continue
+        c = text[pos]
+        if text.startswith(quote, pos):
+            return pos + len(quote)
+        if c == "\n" and len(quote) == 1:
+            return -1
+        if c == "\\":
+            if not raw and text.startswith("N{", pos + 1):
+                pos = text.find("}", pos)
+                if pos < 0:
+                    return -1
+            elif text[pos + 1 : pos + 2] not in ("{", "}"):
+                pos += 2 if text.startswith("\r\n", pos + 1) else 1
+        elif c == "{" or c == "}":
+            if text.startswith(c, pos + 1):
+                pos += 1
+            elif c == "}":
+                return -1
+            else:
+                pos = _format_field(text, pos + 1, quote, raw, table, ids, out, 0)
+                if pos < 0:
+                    return -1
+                continue
+        pos += 1
+    return -1
+
+
+def _format_field(text: str, pos: int, quote: str, raw: bool, table: dict[str, int], ids: dict[str, int], out: list[int], level: int) -> int:
+    """A field from behind its opening bracket on: expression, conversion, format with fields of its own."""
+    out.append(ids["${"])
+    depth, n = 0, len(text)
+    while True:
+        m = _PY.match(text, pos)
+        if m is None:
+            r = _PY_CONVERSION.match(text, pos)
+            if r is None or depth:
+                return -1
+            out.append(ids["CONV"])
+            pos = r.end()
+            continue
+        kind, pos = m.lastgroup, m.end()
+        if kind == "end":
+            return -1
+        if kind in ("f", "quote"):
+            out.append(ids["FSTR"])
+            pos = _format_string(text, pos, m["quote"], "r" in m["f"].lower(), table, ids, out)
+            if pos < 0:
+                return -1
+        elif kind == "mark":
+            v = m[kind]
+            if not depth and v == "}":
+                out.append(ids["}$"])
+                return pos
+            if not depth and v[0] == ":":
+                pos = m.start(kind) + 1
+                break
+            depth += (v in "([{") - (v in ")]}")
+            out.append(table[v])
+        elif kind != "nl" and kind != "ws":
+            out.append(table.get(m[kind], ids["WORD"]) if kind == "name" else ids["NUM"] if kind == "num" else ids["STR"] if kind == "str" else ids["ELLIPSIS"])
+    out.append(ids["FSPEC"])
+    while pos < n and not text.startswith(quote, pos):
+        c = text[pos]
+        if c == "}":
+            out.append(ids["}$"])
+            return pos + 1
+        if c == "{":
+            pos = -1 if level == 2 else _format_field(text, pos + 1, quote, raw, table, ids, out, level + 1)
+            if pos < 0:
+                return -1
+            continue
+        if c == "\n" and len(quote) == 1:
+            return -1
+        pos += 2 if c == "\\" and text[pos + 1 : pos + 2] not in ("{", "}") else 1
+    return -1
 
 
 def lex_python(text: str, trace: Trace | None = None) -> list[int]:
     g = grammars.python()
     ids = g.ids
     table = {m: ids["BINOP"] for m in _PY_BIN} | {m: ids["AUG"] for m in _PY_AUG} | {m: ids[m] for m in _PY_MARKS} | {w: ids[w] for w in g.words}
-    NAME, NUM, STR, NL, INDENT, DEDENT = (ids[x] for x in ("WORD", "NUM", "STR", "NL", "INDENT", "DEDENT"))
+    NAME, NUM, STR, FSTR, NL, INDENT, DEDENT = (ids[x] for x in ("WORD", "NUM", "STR", "FSTR", "NL", "INDENT", "DEDENT"))
     out: list[int] = []
     indents, depth, pos, n, match = [0], 0, 0, len(text), _PY.match
     pos += text.startswith("\ufeff")
@@ -483,12 +569,16 @@ def lex_python(text: str, trace: Trace | None = None) -> list[int]:
                     out.append(NL)
                 line_start = True
         elif kind in ("f", "quote"):
-            end = _format_string_end(text, end, m["quote"])
-            if end < 0:
-                if trace is None:
+            if trace is None:
+                out.append(FSTR)
+                end = _format_string(text, end, m["quote"], "r" in m["f"].lower(), table, ids, out)
+                if end < 0:
                     return [*out, BAD]
-                end = m.end()
-            out.append(STR)
+            else:  # one token
+                end = _format_string_end(text, end, m["quote"])
+                if end < 0:
+                    end = m.end()
+                out.append(STR)
         elif kind == "end":
             break
         elif kind == "ws":
