@@ -40,3 +40,24 @@ def test_python_that_is_valid_passes_the_method_alone(monkeypatch):
     ]:
         ast.parse(text)
         assert not flagged("python", text), text
+
+
+@pytest.mark.parametrize("statement", ["try { }", "foo;", "a + 1;", '"x";', "a.b;", "a[1];", "5;", "null;", "a == b;", "(A) b.c();", "new int[3];", "x -> y;", "A::b;", "a instanceof B;", "a ? b() : c();", "-a;", "for (a; b; c) { }", "for (int i = 0; b; i + 1) { }", "switch (a) { case 1 -> b; }", "int c = switch (a) { case 1: b; };"])
+def test_java_that_is_no_statement(statement):
+    assert flagged("java", "class A { void m() { " + statement + " } }")
+
+
+@pytest.mark.parametrize("statement", [
+    "try (a) { }", "try { } catch (A | B e) { }", "try { } finally { }", "try { } catch (A e) { } catch (B f) { } finally { }", "a = b = c;", "a.b[1] += 2;", "this.x = 1; super.y = 2;", "++a.b; a[i]--; (a) = 1; --(b);", "a(); a.b().c(1)[2].d(); super.a(); this.<T>b();", "((A) b).c();",
+    "new A(1); new A() { void f() { } }; new A<>().b(); a.new B(); new int[]{1}.clone(); new A[3].b();", '"x".isEmpty(); A.class.getName(); int[].class.getName();', "for (i = 0, j++; a; i++, f()) { }", "for (;;) { }", "A<B> c = d -> e + 1; int f, g[] = {1};",
+    "switch (a) { case 1, 2 -> b(); case C c when c.d() -> { } default -> throw e; }", "int c = switch (a) { case 1 -> b; case D d -> d + 1; default -> { yield 4; } };", "switch (a) { case 1: case 2: b(); break; default: }", "a >>>= 2; if (b) c++; else d(); x: y();", "f(() -> g(), h -> i, A::b); run(switch (x) { default -> 1; });",
+])
+def test_java_statements(statement):
+    assert not flagged("java", "class A { A() { this(1); } void m() { " + statement + " } }"), statement
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+def test_try_needs_a_clause(language):
+    assert flagged(language, "try { a() }") and flagged(language, "try { a() }\nb()")
+    for text in ["try { a() } catch { }", "try { a() } catch (e) { } finally { }", "try { a() }\nfinally { }\nb()"]:
+        assert not flagged(language, text), text

@@ -90,7 +90,7 @@ def javascript(types: bool = False) -> Grammar:
     r["prefix"] = "( for await? P:for | while P:exprs | with P:exprs | do | ID ': )"
     r["core"] = (
         "( C:block | '; | @var SEMI | @exprstmt SEMI | return @exprs? SEMI | throw @exprs SEMI | break ( ID )? SEMI | continue ( ID )? SEMI | debugger SEMI | @named C:block | @deco "
-        + ts("abstract? ") + "@namedclass | try C:block ( catch ( P:params )? C:block )? ( finally C:block )? | switch P:exprs C:cases "
+        + ts("abstract? ") + "@namedclass | try C:block ( catch ( P:params )? C:block ( finally C:block )? | finally C:block ) | switch P:exprs C:cases "
         + ts("| @decls | @named SEMI ") + ")"
     )
     if types:
@@ -195,30 +195,36 @@ def java() -> Grammar:
     r["post"] = "( '. ( NAME | this | super | class | new @type P:args ( C:class )? | @targs ( NAME | super | this ) ) | P:args | B:expr | ( B:empty )+ | FIX | ':: ( @targs )? ( NAME | new ) | @targs '. NAME | @targs ( B:empty )* '':: ( NAME | new ) | instanceof final? @type ( NAME | P:pats NAME? )? )".replace("'':: ", "':: ")
     operand = "( UNARY | P:type | @head )* @primary @post*"
     r["expr"] = f"{operand} ( ( BIN | '> '> ( '> )? | Q:expr ) {operand} )*"
+    # Expressions that may stand as statements: assignment, increment, call, new.
+    r["owner"] = "( NAME | STR | this | super | P:expr | new @ann* @type ( P:args ( C:class )? | ( B:expr )+ ( B:empty )* | C:init | B:empty ) | void '. class )"
+    r["part"] = "( '. ( NAME | this | super | class | new @type P:args ( C:class )? | @targs ( NAME | super | this ) ) | P:args | B:expr | ( B:empty )+ )"
+    r["place"] = "( NAME | P:expr | @owner @part* ( '. NAME | B:expr ) )"
+    r["effect"] = "( @place ( '= | AUG ) @expr | @place FIX | FIX @place | @owner @part* P:args | @targs ( this | super ) P:args | new @ann* @type P:args ( C:class )? | @owner @part* '. new @type P:args ( C:class )? )"
     r["dims"] = "( B:empty )*"
     r["vars"] = "NAME @dims ( '= ( @expr | C:init ) )? ( ', NAME @dims ( '= ( @expr | C:init ) )? )*"
     r["typedecl"] = "@mods ( ( class | interface | record | '@ interface ) NAME @tparams? ( P:params )? ( extends @type ( ', @type )* )? ( implements @type ( ', @type )* )? ( permits @type ( ', @type )* )? C:class | enum NAME ( implements @type ( ', @type )* )? C:enum )"
     r["member"] = "( '; | @typedecl | @mods ( C:block | @tparams? ( ( @type | void ) NAME | NAME ) P:params @dims ( throws @type ( ', @type )* )? ( C:block | ( default ( @expr | C:init | @ann ) )? '; ) | @type @vars '; | NAME C:block ) )"
     r["pre"] = "( for P:for | while P:expr | do | NAME ': )"
     r["core"] = (
-        "( C:block | '; | @typedecl | ( final | @ann )* @type @vars '; | @expr '; | return @expr? '; | throw @expr '; | break NAME? '; | continue NAME? '; | yield @expr '; | assert @expr ( ': @expr )? '; "
-        "| try ( P:resources )? C:block ( catch P:catch C:block )* ( finally C:block )? | switch P:expr C:cases | synchronized P:expr C:block )"
+        "( C:block | '; | @typedecl | ( final | @ann )* @type @vars '; | @effect '; | return @expr? '; | throw @expr '; | break NAME? '; | continue NAME? '; | yield @expr '; | assert @expr ( ': @expr )? '; "
+        "| try ( P:resources C:block ( catch P:catch C:block )* ( finally C:block )? | C:block ( ( catch P:catch C:block )+ ( finally C:block )? | finally C:block ) ) | switch P:expr C:steps | synchronized P:expr C:block )"
     )
     r["stmt"] = "( @pre* @core | ( @pre | if P:expr )* if P:expr @pre* @core ( else ( @pre | if P:expr )* @core )* )"
     param = "( final | @ann )* @type ( @ann* '... )? ( NAME | this | NAME '. this ) @dims"
     kinds = {
         "F:file": "( '; )* ( @ann* package NAME ( '. NAME )* '; )? ( import static? NAME ( '. NAME )* ( '. '* )? '; | '; )* ( @typedecl | '; )*",
         "C:class": "@member*", "C:enum": "( @ann* NAME ( P:args )? ( C:class )? ( ', @ann* NAME ( P:args )? ( C:class )? )* )? ( ', )? ( '; @member* )?", "C:block": "( @stmt )*",
-        "C:cases": "( ( case @label ( ', @label )* ( when @expr )? ( ': | '-> ) | default ( ': | '-> ) ) @stmt* )*", "P:expr": "@expr", "Q:expr": "@expr", "B:expr": "@expr", "B:empty": "", "P:type": "@type ( '& @type )*",
+        "C:cases": "( @choice ': @stmt* )* | ( @choice '-> ( @expr '; | C:block | throw @expr '; ) )*", "C:steps": "( @choice ': @stmt* )* | ( @choice '-> ( @effect '; | C:block | throw @expr '; ) )*", "P:expr": "@expr", "Q:expr": "@expr", "B:expr": "@expr", "B:empty": "", "P:type": "@type ( '& @type )*",
         "P:args": "( @expr ( ', @expr )* )?", "P:names": "( NAME ( ', NAME )* )?", "P:params": f"( {param} ( ', {param} )* )?", "P:pats": "( final? @type ( NAME | P:pats NAME? )? ( ', final? @type ( NAME | P:pats NAME? )? )* )?",
         "P:anns": "( ( NAME '= )? ( @expr | C:init | @ann ) ( ', NAME '= ( @expr | C:init | @ann ) )* )?", "C:init": "( ( @expr | C:init | @ann ) ( ', ( @expr | C:init | @ann ) )* )? ( ', )?",
-        "P:for": "( ( final | @ann )* @type NAME ': @expr | ( ( final | @ann )* @type @vars | @expr ( ', @expr )* )? '; @expr? '; ( @expr ( ', @expr )* )? )",
+        "P:for": "( ( final | @ann )* @type NAME ': @expr | ( ( final | @ann )* @type @vars | @effect ( ', @effect )* )? '; @expr? '; ( @effect ( ', @effect )* )? )",
         "P:catch": "( final | @ann )* @type ( '| @type )* NAME", "P:resources": "( ( final | @ann )* @type NAME '= @expr | @expr ) ( '; ( ( final | @ann )* @type NAME '= @expr | @expr ) )* ( '; )?",
     }
+    r["choice"] = "( case @label ( ', @label )* ( when @expr )? | default )"
     r["label"] = "( @expr | default | @type ( NAME | P:pats NAME? ) )"
     soft = "record sealed permits yield when var non"
-    sets = {"NAME": "WORD " + soft, "UNARY": "! ~ + - ++ --", "BIN": "BINOP * & | + - < > =", "FIX": "++ --"}
-    return Grammar(_JAVA_WORDS, "{ } ( ) [ ] ; , . ... ? : :: = -> * & | + - ! ~ < > @ ++ --", "WORD NUM STR BINOP WILD", sets, r, kinds)
+    sets = {"NAME": "WORD " + soft, "UNARY": "! ~ + - ++ --", "BIN": "BINOP AUG * & | + - < > =", "FIX": "++ --"}
+    return Grammar(_JAVA_WORDS, "{ } ( ) [ ] ; , . ... ? : :: = -> * & | + - ! ~ < > @ ++ --", "WORD NUM STR BINOP AUG WILD", sets, r, kinds)
 
 
 # ---------------------------------------------------------------- rust

@@ -274,12 +274,13 @@ def lex_go(text: str, trace: Trace | None = None) -> list[int]:
 # ---------------------------------------------------------------- java
 
 _JAVA_MARKS = ["{", "}", "(", ")", "[", "]", ";", ",", ".", "...", "?", ":", "::", "=", "->", "*", "&", "|", "+", "-", "!", "~", "<", ">", "@", "++", "--"]
-_JAVA_BIN = ["/", "%", "==", "!=", "<=", ">=", "&&", "||", "^", "<<", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="]
+_JAVA_BIN = ["/", "%", "==", "!=", "<=", ">=", "&&", "||", "^", "<<"]
+_JAVA_AUG = ["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="]
 _JAVA_ESC = r"\\(?:[btnfrs\"'\\0-7\n]|u+[0-9a-fA-F]{4})"
 _JAVA = _compile(
     ("name", r"(?:[$]|[^\W\d])[\w$]*"), ("ws", r"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"),
     ("num", r"(?:0[xX](?:[0-9a-fA-F][0-9a-fA-F_]*)?(?:\.[0-9a-fA-F_]*)?(?:[pP][-+]?\d+)?|0[bB][01_]+|(?:\d[\d_]*(?:\.(?:\d[\d_]*)?)?|\.\d[\d_]*)(?:[eE][-+]?[\d_]+)?)[lLfFdD]?(?![\w$])"),
-    ("str", rf'"""[ \t\f]*\r?\n(?:[^"\\]|{_JAVA_ESC}|"(?!""))*"""|"(?!"")(?:[^"\\\n]|{_JAVA_ESC})*"|""(?!")|\'(?:[^\'\\\n]|{_JAVA_ESC}[0-7]{{0,2}})\''), ("mark", _marks(*_JAVA_MARKS, *_JAVA_BIN)), blanks=r"[ \t\r\n\f]*",
+    ("str", rf'"""[ \t\f]*\r?\n(?:[^"\\]|{_JAVA_ESC}|"(?!""))*"""|"(?!"")(?:[^"\\\n]|{_JAVA_ESC})*"|""(?!")|\'(?:[^\'\\\n]|{_JAVA_ESC}[0-7]{{0,2}})\''), ("mark", _marks(*_JAVA_MARKS, *_JAVA_BIN, *_JAVA_AUG)), blanks=r"[ \t\r\n\f]*",
 )
 _WILD = re.compile(r"\?\s*(?:>|,|extends\b|super\b)")
 
@@ -287,7 +288,7 @@ _WILD = re.compile(r"\?\s*(?:>|,|extends\b|super\b)")
 def lex_java(text: str, trace: Trace | None = None) -> list[int]:
     g = grammars.java()
     ids = g.ids
-    table = {m: ids["BINOP"] for m in _JAVA_BIN} | {m: ids[m] for m in _JAVA_MARKS} | {w: ids[w] for w in g.words}
+    table = {m: ids["BINOP"] for m in _JAVA_BIN} | {m: ids["AUG"] for m in _JAVA_AUG} | {m: ids[m] for m in _JAVA_MARKS} | {w: ids[w] for w in g.words}
     WORD, NUM, STR = ids["WORD"], ids["NUM"], ids["STR"]
     out: list[int] = []
     pos, last = 0, ""
