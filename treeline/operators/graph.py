@@ -6,30 +6,37 @@ one aggregation, checkpointed to the shared folder so that plans stay short and
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.sources.tables import checkpointed
 
+MERGE = 16  # rounds of a search whose findings are brought into one table
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("pid", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def bounded_bfs(edges: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
+def bounded_bfs(edges: DataFrame, anchors: DataFrame, depth: int | None = None) -> DataFrame:
     """(pid, node, hops) of the nodes within ``depth`` steps of the anchors (pid, node), hops the least number of steps.
 
-    A node is expanded once. Null ends lead nowhere; anchors without edges are reached at 0.
+    Without ``depth`` the walk goes on until nothing new is met. A node is expanded once. Null ends lead nowhere; anchors without edges are reached at 0.
     """
-    links = edges.dropna(subset=["src", "dst"]).select("pid", "src", "dst").distinct()
-    seen = anchors.select("pid", "node").distinct().withColumn("hops", F.lit(0))
+    # Written once; edges that come dealt by (pid, src) are not moved again in any round.
+    links = checkpointed(edges.dropna(subset=["src", "dst"]).select("pid", "src", "dst").distinct())
+    seen = checkpointed(anchors.select("pid", "node").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
-    for step in range(1, depth + 1):
+    for step in count(1) if depth is None else range(1, depth + 1):
         nxt = frontier.select("pid", F.col("node").alias("src")).join(links, ["pid", "src"]).select("pid", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(nxt.join(seen.select("pid", "node"), ["pid", "node"], "left_anti").withColumn("hops", F.lit(step)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if step % MERGE == 0:
+            seen = checkpointed(seen)
     return seen
 
 
@@ -82,7 +89,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         colour = _spread_plain(left.withColumn("label", F.col("node")), links)
         same = links.join(colour.select("pid", F.col("node").alias("src"), F.col("label").alias("cs")), ["pid", "src"]).join(colour.select("pid", F.col("node").alias("dst"), F.col("label").alias("cd")), ["pid", "dst"]).where("cs = cd")
         within = checkpointed(same.select("pid", "src", "dst"))
-        back = bounded_bfs(reverse(within), colour.where("node = label").select("pid", "node"), 1 << 30).select("pid", "node")
+        back = bounded_bfs(reverse(within), colour.where("node = label").select("pid", "node")).select("pid", "node")
         members = checkpointed(back.join(colour, ["pid", "node"]).select("pid", "node", F.col("label").alias("component")))
         done = members if done is None else done.unionByName(members)
         left = checkpointed(left.join(members, ["pid", "node"], "left_anti"))

@@ -93,9 +93,9 @@ def s257_bfs(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_EDGES}, seed AS (SELECT pid, max(dst) AS node FROM dep GROUP BY pid), walk AS (SELECT pid, node, 0 AS hops FROM seed UNION SELECT w.pid, dep.src, w.hops + 1 FROM walk w JOIN dep ON dep.pid = w.pid AND dep.dst = w.node WHERE w.hops < 6)
 SELECT pid, node, min(hops) AS hops FROM walk GROUP BY 1, 2""")
 def s267_impact(spark: SparkSession, root: str) -> DataFrame:
-    """What depends on a changed entity, and over how many steps."""
+    """What depends on a changed entity, and over how many steps, however many. The SQL form stops at six."""
     e = links(spark, root, DEPENDENCY)
-    return G.bounded_bfs(G.reverse(e), e.groupBy("pid").agg(F.max("dst").alias("node")), 6)
+    return G.bounded_bfs(G.reverse(e).repartition("pid", "src"), e.groupBy("pid").agg(F.max("dst").alias("node")))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT pid, src, dst FROM edge UNION SELECT pid, dst, src FROM edge), reach AS (SELECT pid, node, node AS seen FROM node_ UNION SELECT r.pid, r.node, u.dst FROM reach r JOIN u ON u.pid = r.pid AND u.src = r.seen)
@@ -118,7 +118,7 @@ SELECT pid, node, min(seen) AS component FROM reach GROUP BY 1, 2"""
 def _live_dependencies(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     v = vertices(spark, root)
     e = links(spark, root, DEPENDENCY)
-    return v, e.join(v.withColumnRenamed("node", "src"), ["pid", "src"], "left_semi").join(v.withColumnRenamed("node", "dst"), ["pid", "dst"], "left_semi")
+    return v, e.join(v.withColumnRenamed("node", "dst"), ["pid", "dst"], "left_semi").join(v.withColumnRenamed("node", "src"), ["pid", "src"], "left_semi")
 
 
 _REACH = f"{_EDGES}, {_LIVE}, reach AS (SELECT pid, src AS a, dst AS b FROM live UNION SELECT r.pid, r.a, live.dst FROM reach r JOIN live ON live.pid = r.pid AND live.src = r.b)"
@@ -186,10 +186,10 @@ def s103_affected(spark: SparkSession, root: str) -> DataFrame:
 e AS (SELECT DISTINCT x.pid, x.owner_path AS a, d.owner_path AS b FROM x JOIN d USING (pid, domain, digest)), s AS (SELECT pid, min(owner_path) AS node FROM x GROUP BY 1), w AS (SELECT pid, node, 0 AS hops FROM s UNION SELECT w.pid, e.b, hops + 1 FROM w JOIN e ON e.pid = w.pid AND e.a = w.node WHERE hops < 5)
 SELECT pid, node, min(hops) AS hops FROM w GROUP BY 1, 2""")
 def s317_closure(spark: SparkSession, root: str) -> DataFrame:
-    """Files to resolve again when a repository's first file changes, step by step."""
+    """Files to resolve again when a repository's first file changes, step by step to the end. The SQL form stops at five."""
     x, d = exports(spark, root), dependencies(spark, root)
     e = x.select("pid", "domain", "digest", c("owner_path").alias("src")).distinct().join(d.select("pid", "domain", "digest", c("owner_path").alias("dst")).distinct(), ["pid", "domain", "digest"]).select("pid", "src", "dst").distinct()
-    return G.bounded_bfs(e, x.groupBy("pid").agg(F.min("owner_path").alias("node")), 5)
+    return G.bounded_bfs(e.repartition("pid", "src"), x.groupBy("pid").agg(F.min("owner_path").alias("node")))
 
 
 @query(f"WITH {ENTITIES}, {RELATIONS}, s AS (SELECT pid, name, count(*) n, min(k) k FROM ent WHERE kind = 'symbol' AND name IS NOT NULL GROUP BY 1, 2) SELECT s.pid, s.name, s.k AS callee, r.src AS caller FROM s JOIN (SELECT DISTINCT pid, src, regexp_extract(ref, '[^:./]+$') AS name FROM rel WHERE ref IS NOT NULL) r ON r.pid = s.pid AND r.name = s.name WHERE s.n = 1")

@@ -14,7 +14,7 @@ from treeline.plans.paths_and_text import CLASS_OF, lookup
 from treeline.plans.registry import query
 from treeline.plans.search_and_sets import _PURPOSES, purposes
 from treeline.plans.usage_queries import _EV, calls
-from treeline.sources.tables import hex_key, table
+from treeline.sources.tables import checkpointed, hex_key, table
 
 c = F.col
 
@@ -107,10 +107,10 @@ def s261_closure(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_EDGES}, {_LIVE}, a AS (SELECT pid, min(src) AS s, max(dst) AS t FROM live GROUP BY 1), w AS (SELECT pid, s AS node, 0 AS h FROM a UNION SELECT w.pid, live.dst, h + 1 FROM w JOIN live ON live.pid = w.pid AND live.src = w.node WHERE h < 8)
 SELECT a.pid, a.t AS target, min(h) AS hops, CASE WHEN min(h) IS NULL THEN 'absent' ELSE 'confirmed' END AS status FROM a LEFT JOIN w ON w.pid = a.pid AND w.node = a.t GROUP BY 1, 2""")
 def s271_trace(spark: SparkSession, root: str) -> DataFrame:
-    """Steps from each repository's first to its last dependency, if there is a way within eight."""
-    _, e = _live_dependencies(spark, root)
+    """Steps from each repository's first to its last dependency; 'absent' if no way of any length leads there. The SQL form stops at eight steps."""
+    e = checkpointed(_live_dependencies(spark, root)[1])
     ends = e.groupBy("pid").agg(F.min("src").alias("node"), F.max("dst").alias("target"))
-    seen = G.bounded_bfs(e, ends.select("pid", "node"), 8).withColumnRenamed("node", "target")
+    seen = G.bounded_bfs(e, ends.select("pid", "node")).withColumnRenamed("node", "target")
     return ends.select("pid", "target").join(seen, ["pid", "target"], "left").select("pid", "target", "hops", F.when(c("hops").isNull(), "absent").otherwise("confirmed").alias("status"))
 
 
