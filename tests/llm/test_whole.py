@@ -6,6 +6,7 @@ import ast
 
 import pytest
 
+from treeline.llm import functions as Fn
 from treeline.llm.syntax import judge, permissible
 
 
@@ -61,3 +62,11 @@ def test_try_needs_a_clause(language):
     assert flagged(language, "try { a() }") and flagged(language, "try { a() }\nb()")
     for text in ["try { a() } catch { }", "try { a() } catch (e) { } finally { }", "try { a() }\nfinally { }\nb()"]:
         assert not flagged(language, text), text
+
+
+def test_documentation_inherited_over_many_classes_and_around_cycles(spark):
+    cols = "id int, project string, symbol_name string, symbol_parent string, parents array<string>, doc string, documented boolean, inherits boolean"
+    rows = [(0, "p", "run", "C0", [], "Runs the job until it is done.", True, False)] + [(i, "p", "run", f"C{i}", [f"C{i - 1}", "L1"], "", False, True) for i in range(1, 13)]
+    rows += [(21, "p", "run", "L1", ["L2"], "", False, True), (22, "p", "run", "L2", ["L1"], "", False, True)]
+    got = {r.id: r.inherited_doc for r in Fn.resolve_inherited(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {0: None, 21: None, 22: None} | {i: rows[0][5] for i in range(1, 13)}

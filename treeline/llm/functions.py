@@ -6,6 +6,7 @@ import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from treeline.sources.tables import checkpointed
 
 LANGUAGES = {"python", "javascript", "typescript", "rust", "go", "java"}
 MIN_WORDS, MIN_NEW_WORDS = 5, 3
-MAX_LEVELS = 8  # classes between a method and the documentation it inherits
+MERGE = 16  # rounds of the walk up the classes whose findings are brought into one table
 
 # Words that head parameter and similar sections in documentation comments.
 SECTIONS = (
@@ -509,24 +510,28 @@ def extract(files: DataFrame) -> DataFrame:
     return files.where(extension().isin(known)).mapInPandas(scan, _SCHEMA)
 
 
-def resolve_inherited(found: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
+def resolve_inherited(found: DataFrame) -> DataFrame:
     """Adds ``inherited_doc`` to methods that inherit: the nearest overridden method's documentation.
 
     found: project, symbol_name, symbol_parent, parents, doc, documented, inherits, id. Round by round, pending
     methods look for a documented method of the same name in a parent class of the repository; those not met
-    move on to the grandparents. Names are matched within a repository; of several candidates the least text wins.
+    move on to the grandparents, each to a class only once, until none is left. Names are matched within a repository; of several candidates the least text wins.
     """
     docs = found.where("documented AND symbol_parent <> ''").groupBy("project", F.col("symbol_parent").alias("class"), "symbol_name").agg(F.min("doc").alias("inherited_doc"))
     bases = found.where("symbol_parent <> ''").select("project", F.col("symbol_parent").alias("class"), F.explode("parents").alias("base")).distinct()
     pending = found.where("inherits AND NOT documented").select("id", "project", "symbol_name", F.explode("parents").alias("class")).distinct()
-    answers = None
-    for level in range(levels):
+    answers = visited = None
+    for level in count():
         met = pending.join(docs, ["project", "class", "symbol_name"], "left")
         met = checkpointed(met)
         hit = met.where("inherited_doc IS NOT NULL").select("id", F.lit(level).alias("level"), "inherited_doc")
         answers = hit if answers is None else answers.unionByName(hit)
+        here = met.select("id", "class")
+        visited = here if visited is None else visited.unionByName(here)
+        if level % MERGE == MERGE - 1:
+            answers, visited = checkpointed(answers), checkpointed(visited)
         left = met.where("inherited_doc IS NULL").drop("inherited_doc").join(hit.select("id"), "id", "left_anti")
-        pending = left.join(bases, ["project", "class"]).select("id", "project", "symbol_name", F.col("base").alias("class")).distinct()
+        pending = left.join(bases, ["project", "class"]).select("id", "project", "symbol_name", F.col("base").alias("class")).distinct().join(visited, ["id", "class"], "left_anti")
         if pending.isEmpty():
             break
     best = answers.groupBy("id").agg(F.min(F.struct("level", "inherited_doc")).alias("b")).select("id", "b.inherited_doc")
