@@ -70,3 +70,10 @@ def test_documentation_inherited_over_many_classes_and_around_cycles(spark):
     rows += [(21, "p", "run", "L1", ["L2"], "", False, True), (22, "p", "run", "L2", ["L1"], "", False, True)]
     got = {r.id: r.inherited_doc for r in Fn.resolve_inherited(spark.createDataFrame(rows, cols)).collect()}
     assert got == {0: None, 21: None, 22: None} | {i: rows[0][5] for i in range(1, 13)}
+
+
+def test_body_closed_over_many_open_brackets():
+    text = "function f(a) {\n  x = " + "(" * 60 + "\n}\n"
+    s = Fn.Source("javascript", text)
+    assert s.match[s.tok.index("{")] == s.tok.index("}")
+    assert [f[1] for f in Fn.functions("javascript", text)] == ["f"]

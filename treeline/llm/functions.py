@@ -123,13 +123,16 @@ class Source:
         self.match: dict[int, int] = {}
         stack: list[tuple[str, int]] = []
         pair = {")": "(", "]": "[", "}": "{", "DEDENT": "INDENT", "}$": "${"}
+        still = dict.fromkeys(pair.values(), 0)  # open brackets by kind
         for i, t in enumerate(self.tok):
-            if t in ("(", "[", "{", "INDENT", "${"):
+            if t in still:
                 stack.append((t, i))
-            elif t in pair and any(o == pair[t] for o, _ in stack[-40:]):
+                still[t] += 1
+            elif t in pair and still[pair[t]]:
                 while stack[-1][0] != pair[t]:
-                    stack.pop()
+                    still[stack.pop()[0]] -= 1
                 j = stack.pop()[1]
+                still[pair[t]] -= 1
                 self.match[j], self.match[i] = i, j
         # Comment-only lines: line -> (first offset, end offset) of the comment.
         self.comment_lines: dict[int, tuple[int, int]] = {}
