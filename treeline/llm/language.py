@@ -2,12 +2,13 @@
 
 A paragraph is a bag of character n-grams taken inside its words. A linear model picks the family;
 within it, one linear support vector machine per pair of languages votes. All models are linear in the bag,
-so a word's scores under all of them are computed once per worker and added up from then on.
+so a blank-free token's scores under all of them are computed once per worker and added up from then on.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import unicodedata
 import zlib
@@ -27,11 +28,15 @@ LANGUAGES = [x for f in FAMILIES.values() for x in f]
 PAIRS = [p for f in FAMILIES.values() for p in itertools.combinations(f, 2)]
 FAMILY_OF = {x: f for f, xs in FAMILIES.items() for x in xs}
 
-SAMPLE_PER_LANGUAGE = 200  # documents a language gives to the training sample, about
+SAMPLE_PER_LANGUAGE = 150  # documents a language gives to the training sample, about
 SAMPLE_PARAGRAPHS = 4  # paragraphs taken of each
 DIM = 1 << 16
 NGRAMS = (1, 2, 3, 4)
-CACHE_WORDS = 200_000
+SAMPLE_WORDS = 2_000  # words taken of each paragraph of the sample
+DRAWS = 1 << 40
+CACHE_TOKENS = 100_000
+UNSURE, FEW = 0.6, 12  # confidence and number of words below which a paragraph goes with its neighbours
+EPOCHS, COST, TOLERANCE, BIAS = 8, 1.0, 0.02, 0.3
 
 # Names and codes of the languages, besides their two letters.
 LABELS = {
@@ -64,7 +69,7 @@ def label_code(label: str | None) -> str | None:
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 # ASCII only: in scripts without spaces, prose touches such things directly.
-_NOISE = re.compile(r"`[^`\n]*`|https?://[!-~]+|[!-~]+@[!-~]+|<[!-;=?-~ ]*>|[!-~]*[/\\][!-~]*|(?<!\w)--?[a-z0-9][a-z0-9-]*|[a-zA-Z0-9]*_[a-zA-Z0-9_]+|[a-zA-Z]*[0-9][a-zA-Z0-9]*")
+_NOISE = re.compile(r"https?://[!-~]+|[!-~]+@[!-~]+|[!-~]*[/\\][!-~]*|(?<!\w)--?[a-z0-9][a-z0-9-]*|[a-zA-Z0-9]*_[a-zA-Z0-9_]+|[a-zA-Z]*[0-9][a-zA-Z0-9]*")
 _CAMEL = re.compile(r"\b[a-z]+[A-Z][A-Za-z]*|\b[A-Z][a-z]+[A-Z][A-Za-z]*")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Variation_Selector}]+")
@@ -94,23 +99,37 @@ def paragraphs(text: str) -> list[str]:
     return out
 
 
+_SPAN = re.compile(r"`[^`\n]*`|<[!-;=?-~ ]*>")
+_MARK = re.compile(r"^\s*(?:#+|[-*+>|]|\d+[.)])\s", re.M)
+
+
+def token_words(token: str) -> tuple[list[str], int, int]:
+    """Lower-case words of prose in a blank-free token, its marks of code, its Chinese and Japanese characters."""
+    plain = token if token.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFC", token))
+    prose = _CAMEL.sub(" ", _NOISE.sub(" ", plain))
+    return _WORD.findall(prose.lower()), len(_CODE.findall(prose)), 0 if prose.isascii() else len(_CJK.findall(prose))
+
+
+def prose_tokens(paragraph: str) -> list[str]:
+    """Blank-separated tokens without code spans and tags."""
+    return (_SPAN.sub(" ", paragraph) if "`" in paragraph or "<" in paragraph else paragraph).split()
+
+
+def is_prose(paragraph: str, words: int, letters: int, marks: int, cjk: int) -> bool:
+    """Whether a paragraph holds natural language to speak of: some words, and not mostly marks of code."""
+    if not words or (words < 3 and letters < 12 and cjk < 5):
+        return False
+    if marks > 0.6 * words and not cjk:
+        marks -= sum(len(_CODE.findall(m)) for m in _MARK.findall(paragraph))  # heads of list items and headings
+    return marks <= 0.6 * words or cjk > 0
+
+
 def natural_words(paragraph: str) -> list[str]:
     """Lower-case words of the prose in a paragraph; none if it is code or holds no sentence to speak of."""
-    plain = paragraph if paragraph.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFC", paragraph))
-    prose = _CAMEL.sub(" ", _NOISE.sub(" ", plain))
-    found = _WORD.findall(prose.lower())
-    if not found:
-        return []
-    letters = sum(map(len, found))
-    if prose.isascii():
-        if len(found) < 3 and letters < 12:
-            return []
-    elif len(found) < 3 and letters < 12 and len(_CJK.findall(prose)) < 5:
-        return []
-    body = re.sub(r"^\s*(?:#+|[-*+>|]|\d+[.)])\s", "", prose, flags=re.M)
-    if len(_CODE.findall(body)) > 0.6 * len(found) and not _CJK.search(prose):
-        return []
-    return found
+    parts = [token_words(t) for t in prose_tokens(paragraph)]
+    found = [w for ws, _, _ in parts for w in ws]
+    good = is_prose(paragraph, len(found), sum(map(len, found)), sum(m for _, m, _ in parts), sum(k for _, _, k in parts))
+    return found if good else []
 
 
 def word_features(word: str) -> list[int]:
@@ -128,135 +147,220 @@ def bag(words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return idx, n / n.sum() * 10.0
 
 
-def train_svm(bags: list, sign: np.ndarray, epochs: int = 4, lam: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Linear SVM by stochastic subgradient descent on the hinge loss, weights averaged over the last half."""
-    rng, w, avg, b, avg_b, kept, t = np.random.default_rng(seed), np.zeros(DIM), np.zeros(DIM), 0.0, 0.0, 0, 0
-    share = np.array([1 / max((sign == s).mean(), 1e-3) / 2 for s in sign])
-    scale = 1.0
-    for epoch in range(epochs):
-        for i in rng.permutation(len(bags)):
-            t += 1
-            rate = 1 / (lam * (t + 1000))
+def train_svms(bags: list, signs: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> tuple[np.ndarray, np.ndarray]:
+    """Linear SVMs by dual coordinate descent, all columns of ``signs`` (+1, -1, 0 = not in this one) at once.
+
+    The dual has one optimum, so the order of the rows only matters for how fast it is reached. Both sides of a
+    machine weigh the same in total.
+    """
+    rows, columns = signs.shape
+    limit = np.zeros(signs.shape)
+    for side in (1, -1):
+        mine = signs == side
+        limit += mine * (cost * (signs != 0).sum(0) / (2 * np.maximum(mine.sum(0), 1)))
+    weights, bias, dual = np.zeros((DIM, columns)), np.zeros(columns), np.zeros(signs.shape)
+    norms = np.array([(v * v).sum() + BIAS * BIAS for _, v in bags])
+    rng, active = np.random.default_rng(7), np.arange(rows)
+    for _ in range(epochs):
+        moving = []
+        for i in rng.permutation(active):
             idx, v = bags[i]
-            miss = sign[i] * (scale * (w[idx] * v).sum() + b) < 1
-            scale *= 1 - rate * lam
-            if miss:
-                step = rate * sign[i] * share[i]
-                w[idx] += step * v / scale
-                b += 0.01 * step
-        if epoch >= epochs // 2:
-            avg, avg_b, kept = avg + w * scale, avg_b + b, kept + 1
-    return avg / kept, avg_b / kept
+            gap = signs[i] * (v @ weights[idx] + BIAS * bias) - 1
+            new = np.minimum(np.maximum(dual[i] - gap / norms[i], 0), limit[i])
+            step = (new - dual[i]) * signs[i]
+            if np.abs(step).max() * norms[i] > TOLERANCE:
+                weights[idx] += v[:, None] * step
+                bias += BIAS * step
+                dual[i] = new
+                moving.append(i)
+        # Rows at rest are passed over until those that still move have settled; then all are looked at again.
+        if not moving and len(active) == rows:
+            break
+        active = np.array(moving) if len(moving) > rows // 50 else np.arange(rows)
+    return weights, BIAS * bias
 
 
 class Model:
-    """Scores of words under all linear models: one per family, one per pair of languages in a family."""
+    """Scores of words under all linear models: one per family, one per pair of languages in a family.
+
+    ``agreement`` is the share of sampled paragraphs given their label by a model that had not seen them.
+    """
 
-    def __init__(self, samples: list[tuple[str, list[str]]], epochs: int = 4):
+    def __init__(self, samples: list[tuple[str, list[str]]]):
         bags = [bag(w) for _, w in samples]
         lang = np.array([x for x, _ in samples])
         family = np.array([FAMILY_OF[x] for x in lang])
-        columns = [train_svm(bags, np.where(family == f, 1.0, -1.0), epochs) for f in FAMILIES]
-        for a, b in PAIRS:
-            own = np.flatnonzero((lang == a) | (lang == b))
-            columns.append(train_svm([bags[i] for i in own], np.where(lang[own] == a, 1.0, -1.0), epochs))
-        self.weights = np.stack([w for w, _ in columns], 1).astype(np.float32)
-        self.bias = np.array([b for _, b in columns], np.float32)
-        self.cache: dict[str, tuple[np.ndarray, int]] = {}
+        signs = [np.where(family == f, 1.0, -1.0) for f in FAMILIES]
+        signs += [(lang == a).astype(float) - (lang == b) for a, b in PAIRS]
+        weights, bias = train_svms(bags, np.stack(signs, 1))
+        self.weights, self.bias = weights.astype(np.float32), bias.astype(np.float32)
+        self.agreement: float | None = None
+        self._forget()
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "cache": {}}
-
-    def _word(self, w: str) -> tuple[np.ndarray, int]:
-        got = self.cache.get(w)
-        if got is None:
-            f = word_features(w)
-            got = (self.weights[f].sum(0), len(f))
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[w] = got
-        return got
-
-    def predict(self, words_: list[str]) -> tuple[str, float]:
+        return {"weights": self.weights, "bias": self.bias, "agreement": self.agreement}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.bias) + 5), np.float64)  # scores; n-grams, words, letters, marks of code, CJK characters
+
+    def _number(self, token: str) -> int:
+        """Row of the table that holds a token's sums."""
+        n = self.number.get(token)
+        if n is None:
+            if len(self.number) >= CACHE_TOKENS:
+                self._forget()
+            n = self.number[token] = len(self.number)
+            if n == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            words, marks, cjk = token_words(token)
+            features = [f for w in words for f in word_features(w)]
+            k = len(self.bias)
+            self.table[n, :k] = self.weights[features].sum(0) if features else 0
+            self.table[n, k:] = len(features), len(words), sum(map(len, words)), marks, cjk
+        return n
+
+    def sums(self, tokens: list[str]) -> np.ndarray:
+        """Sums of the table's rows over tokens, in pieces no longer than the table may grow."""
+        total = np.zeros(self.table.shape[1])
+        for at in range(0, len(tokens), CACHE_TOKENS // 2):
+            part = tokens[at : at + CACHE_TOKENS // 2]
+            if len(self.number) + len(part) > CACHE_TOKENS and len(self.number) + len(set(part) - self.number.keys()) > CACHE_TOKENS:
+                self._forget()
+            known = self.number.get
+            rows = [n if (n := known(t)) is not None else self._number(t) for t in part]
+            total += self.table[rows].sum(0)
+        return total
+
+    def read(self, paragraph: str) -> tuple[str, float, int, np.ndarray] | None:
+        """Language, confidence (0..1), words and sums of a paragraph; None without prose."""
+        tokens = prose_tokens(paragraph)
+        if not tokens:
+            return None
+        sums = self.sums(tokens)
+        _, words, letters, marks, cjk = sums[len(self.bias) :]
+        return (*self.total(sums), int(words), sums) if is_prose(paragraph, words, letters, marks, cjk) else None
+
+    def total(self, sums: np.ndarray) -> tuple[str, float]:
+        """Language and confidence of the text whose sums these are."""
+        k = len(self.bias)
+        return self.decide(sums[:k] / sums[k] * 10.0 + self.bias)
+
+    def predict(self, words: list[str]) -> tuple[str, float]:
         """Language and confidence (0..1) of a non-empty list of words."""
-        total, n = np.zeros(len(self.bias), np.float32), 0
-        for w in words_:
-            s, k = self._word(w)
-            total = total + s
-            n += k
-        score = total / n * 10.0 + self.bias
-        fam = score[: len(FAMILIES)]
-        best = int(fam.argmax())
-        name = list(FAMILIES)[best]
-        rest = np.delete(fam, best)
-        sure = 1 / (1 + np.exp(-2.0 * float(fam[best] - rest.max())))
-        members = FAMILIES[name]
+        idx, v = bag(words)
+        return self.decide(v @ self.weights[idx] + self.bias)
+
+    def decide(self, score: np.ndarray) -> tuple[str, float]:
+        """The family of the greatest score, then the language that wins most of its pairs (ties: by margin)."""
+        s = score.tolist()
+        fam = s[: len(FAMILIES)]
+        best = max(range(len(fam)), key=fam.__getitem__)
+        sure = _squash(fam[best] - max(x for i, x in enumerate(fam) if i != best))
+        members = FAMILIES[list(FAMILIES)[best]]
         if len(members) == 1:
-            return members[0], float(sure)
-        votes, margin = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
-        least = {}
-        for (a, b), s in zip(PAIRS, score[len(FAMILIES) :], strict=True):
+            return members[0], sure
+        votes, margin, least = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0), dict.fromkeys(members, 99.0)
+        for (a, b), x in zip(PAIRS, s[len(FAMILIES) :], strict=True):
             if a in votes:
-                votes[a if s > 0 else b] += 1
-                margin[a] += float(s)
-                margin[b] -= float(s)
-                least[a] = min(least.get(a, 99), float(s))
-                least[b] = min(least.get(b, 99), -float(s))
+                votes[a if x > 0 else b] += 1
+                margin[a] += x
+                margin[b] -= x
+                least[a] = min(least[a], x)
+                least[b] = min(least[b], -x)
         win = max(members, key=lambda x: (votes[x], margin[x]))
-        return win, float(sure / (1 + np.exp(-2.0 * least[win])))
+        return win, sure * _squash(least[win])
+
 
+def _squash(x: float) -> float:
+    return 1 / (1 + math.exp(-2.0 * max(min(x, 50.0), -50.0)))
 
-def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, list[str]]]:
-    """At most about ``per_language`` labelled documents of each language, as labelled paragraphs.
 
-    Rows are chosen by a hash of doc_id, with a share for each label that comes from label counts over all
-    rows. The seeds are always part of it.
+def seed_sample() -> list[tuple[str, list[str]]]:
+    """The built-in sentences, whole and one by one."""
+    return [(lang, natural_words(s)) for lang, text in SEEDS.items() for s in (text, *re.split(r"(?<=[.。])\s*", text)) if natural_words(s)]
+
+
+def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, int, list[str]]]:
+    """(language, doc_id, words) of paragraphs of about ``per_language`` labelled documents of each language.
+
+    Documents are chosen by a hash of doc_id, with a share for each language that comes from label counts over
+    all rows. Of each, the first SAMPLE_PARAGRAPHS paragraphs with prose are taken, of each of them at most
+    SAMPLE_WORDS words. The list is sorted, so it does not depend on how the rows are spread or ordered.
     """
-    out = [(lang, natural_words(s)) for lang, text in SEEDS.items() for s in (text, *re.split(r"(?<=[.。])\s*", text)) if natural_words(s)]
-    rows = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL AND length(lang) <= 40")
-    # Labels are a closed vocabulary in spelling only; the cut keeps this list bounded whatever is in the column.
-    counts: dict[str, int] = {}
-    spelled: dict[str, str] = {}
-    known = F.split(F.lower(F.trim("lang")), r"[-_.@ (]").getItem(0).isin(list(_KNOWN))
-    for r in rows.where(known).groupBy(F.split(F.lower(F.trim("lang")), r"[-_.@ (]").getItem(0).alias("label")).count().collect():
-        code = spelled[r["label"]] = label_code(r["label"])
-        counts[code] = counts.get(code, 0) + r["count"]
+    rows = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
+    head = F.split(F.lower(F.trim("lang")), r"[-_.@ (]", 2).getItem(0)
+    rows = rows.withColumn("code", F.create_map(*(F.lit(x) for kv in _KNOWN.items() for x in kv))[head]).where("code IS NOT NULL")
+    counts = {r["code"]: r["count"] for r in rows.groupBy("code").count().collect()}  # one row a language
     if not counts:
-        return out
-    share = F.create_map(*(x for label, code in spelled.items() for x in (F.lit(label), F.lit(min(1_000_000, int(1_000_000 * per_language / counts[code]) + 1)))))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    picked = rows.where(known).where(draw < share[F.split(F.lower(F.trim("lang")), r"[-_.@ (]").getItem(0)]).select("lang", F.substring("text", 1, 20_000).alias("text"))
-    for r in picked.limit(2 * per_language * len(LANGUAGES)).collect():
-        for p in paragraphs(r["text"])[:SAMPLE_PARAGRAPHS]:
-            w = natural_words(p)
-            if w:
-                out.append((label_code(r["lang"]), w))
-    return out
+        return []
+    share = F.create_map(*(F.lit(x) for code, n in sorted(counts.items()) for x in (code, min(DRAWS, int(DRAWS * per_language / n) + 1))))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(DRAWS))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for code, doc, text in zip(b["code"], b["doc_id"], b["text"], strict=True):
+                found = filter(None, map(natural_words, paragraphs(text)))
+                out += [(code, doc, " ".join(w[:SAMPLE_WORDS])) for w in itertools.islice(found, SAMPLE_PARAGRAPHS)]
+            yield pd.DataFrame(out, columns=["code", "doc_id", "words"], dtype=object)
 
+    picked = rows.where(draw < share[F.col("code")]).select("code", "doc_id", "text").mapInPandas(cut, "code string, doc_id bigint, words string")
+    return [(r["code"], r["doc_id"], r["words"].split(" ")) for r in sorted(picked.distinct().collect())]
 
-def fit(samples: list[tuple[str, list[str]]]) -> Model:
-    """Train, drop the paragraphs whose label the model contradicts (wrong labels, foreign passages), train again."""
-    first = Model(samples, epochs=2)
-    kept = [(lang, w) for lang, w in samples if first.predict(w)[0] == lang]
-    return Model(kept if {lang for lang, _ in kept} == set(LANGUAGES) else samples)
+
+def fit(sample: list[tuple[str, int, list[str]]]) -> Model:
+    """Train on the seeds and on the part of the sample whose labels stand up to a model that has not seen them.
+
+    The documents are split in two halves by a hash; the model of one half judges the other, and documents whose
+    label it contradicts (wrong labels) are left out, as are single paragraphs (foreign passages). A model that gives fewer
+    paragraphs their label than the seeds alone would is not used.
+    """
+    seeds = seed_sample()
+    base = Model(seeds)
+    if not sample:
+        return base
+    half = [zlib.crc32(str(doc).encode()) % 2 for _, doc, _ in sample]
+    judges = [Model(seeds + [(lang, w) for (lang, _, w), h in zip(sample, half, strict=True) if h != k]) for k in (0, 1)]
+    whole: dict[tuple[str, int], list[str]] = {}
+    for lang, doc, w in sample:
+        whole.setdefault((lang, doc), []).extend(w)
+    right = {(lang, doc) for (lang, doc), w in whole.items() if judges[zlib.crc32(str(doc).encode()) % 2].predict(w)[0] == lang}
+    said = [judges[h].predict(w)[0] == lang for (lang, _, w), h in zip(sample, half, strict=True)]
+    model = Model(seeds + [(lang, w) for (lang, doc, w), ok in zip(sample, said, strict=True) if ok and (lang, doc) in right])
+    model.agreement = sum(said) / len(said)
+    base.agreement = sum(base.predict(w)[0] == lang for lang, _, w in sample) / len(sample)
+    return model if model.agreement >= base.agreement else base
 
 
 def segment(text: str, model: Model) -> list[tuple[str, float, int]]:
     """(language, confidence, words) of each maximal run of paragraphs in one language.
 
-    Paragraphs without prose belong to the run before. The confidence is the mean over a run's words.
+    Paragraphs without prose belong to the run before. A paragraph of fewer than FEW words and confidence below
+    UNSURE (a heading, a few words two languages share) goes with the paragraph before it, or with the next one if none before it is sure or it
+    is a heading; where no paragraph is sure, all are judged as one. The confidence is the mean over a run's words.
     """
+    read = [(p, *got) for p in paragraphs(text) if (got := model.read(p))]
+    langs = [lang if sure >= UNSURE or n >= FEW else None for _, lang, sure, n, _ in read]
+    if not any(langs):
+        if not read:
+            return []
+        lang, sure = model.total(sum(x for *_, x in read))
+        return [(lang, sure, sum(n for _, _, _, n, _ in read))]
+    after = list(itertools.accumulate(reversed(langs), lambda last, x: x or last))[::-1]
     runs: list[list] = []
-    for p in paragraphs(text):
-        w = natural_words(p)
-        if not w:
-            continue
-        lang, sure = model.predict(w)
-        if runs and runs[-1][0] == lang:
-            runs[-1][1] += sure * len(w)
-            runs[-1][2] += len(w)
+    before = None
+    for (p, _, sure, n, _), lang, later in zip(read, langs, after, strict=True):
+        before = lang or (before if before and not (later and p.lstrip().startswith("#")) else later)
+        if runs and runs[-1][0] == before:
+            runs[-1][1] += sure * n
+            runs[-1][2] += n
         else:
-            runs.append([lang, sure * len(w), len(w)])
+            runs.append([before, sure * n, n])
     return [(lang, s / n, n) for lang, s, n in runs]
 
 
