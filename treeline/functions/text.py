@@ -50,10 +50,16 @@ def contains_line(line: Column, needle: str, case_sensitive: bool) -> Column:
 
 
 def fuzzy(line: Column, needle: str) -> Column:
-    """Whether all characters of the needle occur in order, whatever stands between; an empty needle does."""
+    """Whether all characters of the needle occur in order, whatever stands between; an empty needle does.
+
+    Between two characters stand only others than the second, so each place is tried once however long the line is.
+    """
     import re
 
-    return line.rlike("(?s)" + ".*?".join(map(re.escape, needle))) if needle else F.lit(True)
+    if not needle:
+        return F.lit(True)
+    esc = [re.escape(x) if x not in "[]^\\-&" else "\\" + x for x in needle]
+    return line.rlike("(?s)^" + "".join(f"[^{x}]*+{x}" for x in esc))
 
 
 def terms(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeline.functions import paths as P
 from treeline.operators import extract as X
 from treeline.operators.usage import IDLE
-from treeline.plans.index_tables import TEXTS, latest_texts
+from treeline.plans.index_tables import TEXTS, from_latest_texts
 from treeline.plans.paths_and_text import _SQL_LINES
 from treeline.plans.registry import query
 from treeline.sources.files import ignore_rules, ignored
@@ -28,12 +28,12 @@ def _sql_rx(rx: str) -> str:
     + " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _) in enumerate(X.DECLARATIONS)) + " END AS kind, CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(t, '{_sql_rx(r)}', 1)" for i, (_, r) in enumerate(X.DECLARATIONS)) + " END AS name FROM k WHERE k IS NOT NULL"
 )
 def s281_declarations(spark: SparkSession, root: str) -> DataFrame:
-    return X.declarations(latest_texts(spark, root), ["pid", "path"])
+    return from_latest_texts(spark, root, lambda t: X.declarations(t, ["pid", "path", "_k"]))
 
 
 @query(f"WITH {_LINE} SELECT pid, path, line_no, t AS text FROM line WHERE regexp_matches(t, '{_sql_rx(X.IMPORT)}')")
 def s283_imports(spark: SparkSession, root: str) -> DataFrame:
-    return X.imports(latest_texts(spark, root), ["pid", "path"])
+    return from_latest_texts(spark, root, lambda t: X.imports(t, ["pid", "path", "_k"]))
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_replace(text, '(?ms)^ {0,3}```.*?^ {0,3}```[^\\n]*', '', 'g') t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) x FROM d), h AS (SELECT doc_id, length(regexp_extract(x, '^ {0,3}(#{1,6})[ \\t]', 1)) AS level, regexp_extract(x, '^ {0,3}#{1,6}[ \\t]+(.*?)[ \\t]*#*[ \\t]*$', 1) AS title FROM l WHERE regexp_matches(x, '^ {0,3}#{1,6}[ \\t]+.*$'))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.functions.text import framed
 from treeline.sources.tables import hex_key, table
 
 # Each file or folder of a repository, its last state.
@@ -23,10 +26,33 @@ TEXTS = """t AS (SELECT lower(project_instance_id) AS pid, path, max((updated_at
 txt AS (SELECT pid, path, s[2] AS content_hash, s[3] AS content FROM t)"""
 
 
-def latest_texts(spark: SparkSession, root: str) -> DataFrame:
+def _stored(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """Rows of the text table that hold a text, with ``_k``, 16 bytes for (repository, path, time, hash)."""
     df = table(spark, root, "file_texts", "project_instance_id", "path", "content_hash", "content", "updated_at").where("path IS NOT NULL AND content IS NOT NULL")
-    one = df.groupBy(hex_key("project_instance_id").alias("pid"), "path").agg(F.max(F.struct("updated_at", hex_key("content_hash").alias("content_hash"), "content")).alias("s"))
-    return one.select("pid", "path", "s.content_hash", "s.content")
+    pid, h = hex_key("project_instance_id"), hex_key("content_hash")
+    return df.select(pid.alias("pid"), "path", h.alias("content_hash"), "updated_at", *columns)
+
+
+def _version() -> Column:
+    return F.unhex(F.md5(framed(F.col("pid"), F.col("path"), F.unix_micros(F.col("updated_at").cast("timestamp")).cast("string"), F.col("content_hash")))).alias("_k")
+
+
+def latest_states(spark: SparkSession, root: str) -> DataFrame:
+    """(pid, path, content_hash, _k) of the last text of each path, without the texts."""
+    one = _stored(spark, root).groupBy("pid", "path").agg(F.max(F.struct("updated_at", "content_hash")).alias("s"))
+    return one.select("pid", "path", "s.*").select("pid", "path", "content_hash", _version())
+
+
+def from_latest_texts(spark: SparkSession, root: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``derive`` makes of the last text of each path.
+
+    derive gets (pid, path, _k, content) straight from the scan and must keep ``_k``. It runs on every stored version and its
+    rows, not the texts, are joined with the versions that are the last, so texts never pass an exchange and filters on them
+    stay above the scan. Repeated rows count once. Rows of equal time and hash are taken to hold the same text.
+    """
+    rows = derive(_stored(spark, root, "content").select("pid", "path", _version(), "content"))
+    last = latest_states(spark, root).select("_k")
+    return rows.join(last, "_k", "left_semi").distinct().drop("_k")
 
 
 # Live entities and relations.

@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
+from treeline.functions.text import framed
 from treeline.operators import graph as G
+from treeline.operators.changes import set_digest
 from treeline.plans.graph_queries import _EDGES, _LIVE, _live_dependencies, anchors, links, vertices
-from treeline.plans.index_tables import ENTITIES, NODES, RELATIONS, TEXTS, entities, latest_texts, nodes, relations
-from treeline.plans.paths_and_text import CLASS_OF, lookup
+from treeline.plans.index_tables import ENTITIES, NODES, RELATIONS, TEXTS, entities, from_latest_texts, latest_states, nodes, relations
+from treeline.functions.languages import CLASS_OF, lookup
 from treeline.plans.registry import query
-from treeline.plans.search_and_sets import _PURPOSES, purposes
+from treeline.plans.search_and_sets import _LANES_SQL, _PURPOSES, purposes
 from treeline.plans.usage_queries import _EV, calls
 from treeline.sources.tables import checkpointed, hex_key, table
 
@@ -23,7 +25,7 @@ c = F.col
 def s080_indexed_nodes(spark: SparkSession, root: str) -> DataFrame:
     """Files with purpose and text, where they have one."""
     n = nodes(spark, root).where("kind = 'file'").select("pid", "path", "language")
-    t = latest_texts(spark, root).select("pid", "path", F.char_length("content").alias("chars"))
+    t = from_latest_texts(spark, root, lambda x: x.select("pid", "path", "_k", F.char_length("content").alias("chars")))
     return n.join(purposes(spark, root).select("pid", "path", "status"), ["pid", "path"]).join(t, ["pid", "path"], "left")
 
 
@@ -120,11 +122,11 @@ def s139_name_counts(spark: SparkSession, root: str) -> DataFrame:
     return e.withColumn("is_unique", c("copies") == 1)
 
 
-@query(f"WITH {_PURPOSES} SELECT pid, path, md5(string_agg(child, chr(10) ORDER BY child)) AS digest FROM (SELECT pid, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS path, path || '|' || purpose AS child FROM purpose) GROUP BY 1, 2")
+@query(f"WITH {_PURPOSES}, i AS (SELECT pid, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS path, sha256(length(path)::VARCHAR || ':' || path || ';' || length(purpose)::VARCHAR || ':' || purpose || ';') h FROM purpose), g AS (SELECT pid, path, count(*) n, {_LANES_SQL} FROM i GROUP BY 1, 2) SELECT pid, path, n AS children, sha256(concat_ws('.', n, s0, s1, s2, s3, s4)) AS digest FROM g")
 def s145_folder_hash(spark: SparkSession, root: str) -> DataFrame:
     """Digest of each folder's children and their purposes."""
-    p = purposes(spark, root).select("pid", P.parent(c("path")).alias("folder"), F.concat("path", F.lit("|"), "purpose").alias("child"))
-    return p.groupBy("pid", c("folder").alias("path")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("child")), "\n")).alias("digest"))
+    p = purposes(spark, root).select("pid", P.parent(c("path")).alias("folder"), framed(c("path"), c("purpose")).alias("child"))
+    return p.groupBy("pid", c("folder").alias("path")).agg(F.count(F.lit(1)).alias("children"), set_digest(c("child")).alias("digest"))
 
 
 @query(f"WITH {NODES}, k AS (SELECT pid, path, CASE WHEN extension IN ('.css', '.md') THEN 'asset' WHEN regexp_extract(path, '^[^/]*') IN ('src', 'lib', 'app') THEN 'allowed' ELSE 'disallowed' END AS verdict FROM node WHERE kind = 'file') SELECT pid, verdict, count(*) AS files FROM k GROUP BY 1, 2")
@@ -137,7 +139,7 @@ def s144_untracked(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {NODES}, {TEXTS}, d AS (SELECT node.pid, node.path, txt.path IS NULL AS fresh, node.content_hash IS DISTINCT FROM txt.content_hash AS other, size_bytes FROM node LEFT JOIN txt USING (pid, path) WHERE kind = 'file') SELECT pid, count(*) FILTER (fresh) AS added, count(*) FILTER (NOT fresh AND other) AS modified, coalesce(sum(size_bytes) FILTER (fresh OR other), 0)::BIGINT AS changed_bytes, CASE WHEN count(*) FILTER (fresh OR other) * 5 > count(*) THEN 'full' ELSE 'incremental' END AS plan FROM d GROUP BY 1")
 def s147_delta_counts(spark: SparkSession, root: str) -> DataFrame:
     """Counts of what differs from the indexed texts, and whether a full scan is due."""
-    t = latest_texts(spark, root).select("pid", "path", c("content_hash").alias("h"), F.lit(True).alias("known"))
+    t = latest_states(spark, root).select("pid", "path", c("content_hash").alias("h"), F.lit(True).alias("known"))
     d = nodes(spark, root).where("kind = 'file'").join(t, ["pid", "path"], "left")
     new, other = c("known").isNull(), ~c("content_hash").eqNullSafe(c("h"))
     moved = F.count_if(new | other)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
 from treeline.functions import text as T
-from treeline.plans.index_tables import NODES, TEXTS, latest_texts, nodes
+from treeline.functions.languages import BY_COMPOUND, BY_EXTENSION, BY_NAME, CLASS_OF, content_class, detect_language
+from treeline.plans.index_tables import NODES, TEXTS, from_latest_texts, latest_states, nodes
 from treeline.plans.registry import query
 from treeline.sources.tables import table
 
@@ -76,7 +77,7 @@ def s021_source_tokens(spark: SparkSession, root: str) -> DataFrame:
   ceil(length(content) / 4.0)::BIGINT AS tokens, ((strlen(content) + 3) // 4)::BIGINT AS byte_tokens FROM txt""")
 def s207_text_sizes(spark: SparkSession, root: str) -> DataFrame:
     """Lines and token estimates of texts."""
-    return latest_texts(spark, root).select("pid", "path", T.line_count(c("content")).alias("lines"), T.token_estimate(c("content")).alias("tokens"), T.byte_tokens(F.octet_length("content")).alias("byte_tokens"))
+    return from_latest_texts(spark, root, lambda t: t.select("pid", "path", "_k", T.line_count(c("content")).alias("lines"), T.token_estimate(c("content")).alias("tokens"), T.byte_tokens(F.octet_length("content")).alias("byte_tokens")))
 
 
 _SQL_LINES = "list_transform(CASE WHEN content = '' THEN [] WHEN ends_with(content, chr(10)) THEN string_split(content, chr(10))[:-2] ELSE string_split(content, chr(10)) END, lambda x: regexp_replace(x, '\\r$', ''))"
@@ -85,13 +86,13 @@ _SQL_LINES = "list_transform(CASE WHEN content = '' THEN [] WHEN ends_with(conte
 @query(f"WITH {TEXTS} SELECT pid, path, array_to_string(list_filter(list_transform({_SQL_LINES}, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1:5], chr(10)) AS outline FROM txt")
 def s208_outline(spark: SparkSession, root: str) -> DataFrame:
     """First five lines with content."""
-    return latest_texts(spark, root).select("pid", "path", F.array_join(T.outline(c("content"), 5), "\n").alias("outline"))
+    return from_latest_texts(spark, root, lambda t: t.select("pid", "path", "_k", F.array_join(T.outline(c("content"), 5), "\n").alias("outline")))
 
 
 @query(f"WITH {TEXTS} SELECT pid, path, CASE WHEN len(l) >= 10 THEN array_to_string(l[10:14], chr(10)) END AS slice FROM (SELECT pid, path, {_SQL_LINES} l FROM txt)")
 def s209_slice(spark: SparkSession, root: str) -> DataFrame:
     """Lines 10 to 14."""
-    return latest_texts(spark, root).select("pid", "path", T.code_slice(c("content"), 10, 14).alias("slice"))
+    return from_latest_texts(spark, root, lambda t: t.select("pid", "path", "_k", T.code_slice(c("content"), 10, 14).alias("slice")))
 
 
 @query("SELECT DISTINCT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(path, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS terms FROM documents")
@@ -141,55 +142,29 @@ def s246_identity(spark: SparkSession, root: str) -> DataFrame:
 
 # ---------------------------------------------------------------- languages and classes
 
-# File name, compound extension and extension of the languages known to scans, and the class of a language.
-BY_NAME = {"dockerfile": "dockerfile", "makefile": "make", "cargo.lock": "toml", "go.mod": "gomod"}
-BY_COMPOUND = {".d.ts": "typescript", ".blade.php": "blade"}
-BY_EXTENSION = {
-    ".py": "python", ".pyw": "python", ".js": "javascript", ".mjs": "javascript", ".ts": "typescript", ".rs": "rust", ".go": "go", ".java": "java", ".json": "json", ".toml": "toml", ".css": "css",
-    ".yaml": "yaml", ".yml": "yaml", ".md": "markdown",
-}
-CLASS_OF = {"markdown": "documentation", "json": "configuration_data", "toml": "configuration_data", "yaml": "configuration_data"} | {x: "source" for x in ("python", "javascript", "typescript", "rust", "go", "java", "css")}
-
-
-def lookup(key, values: dict[str, str]):
-    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[key]
-
-
-def detect_language(path, overrides: dict[str, str] | None = None):
-    """(language, reason): an override by name or longest suffix, then file name, compound extension, extension; null if none."""
-    base = F.lower(P.basename(path))
-    compound = F.regexp_extract(base, r"(\.[^.]+\.[^.]+)$", 1)
-    chosen = F.lit(None).cast("string")
-    for suffix, language in sorted((overrides or {}).items(), key=lambda kv: len(kv[0])):
-        chosen = F.when(base.endswith(suffix) if suffix.startswith(".") else base == suffix, language).otherwise(chosen)
-    steps = [("override", chosen), ("filename", lookup(base, BY_NAME)), ("compound", lookup(compound, BY_COMPOUND)), ("extension", lookup(P.extension(path), BY_EXTENSION))]
-    reason = F.coalesce(*(F.when(x.isNotNull(), F.lit(n)) for n, x in steps))
-    return F.coalesce(*(x for _, x in steps)), reason
-
-
 _SQL_EXT = "lower(regexp_extract(path, '(?:^|/)[^/]+(\\.[^./]+)$', 1))"
-_SQL_LANG = "CASE " + " ".join(f"WHEN {_SQL_EXT} = '{k}' THEN '{v}'" for k, v in BY_EXTENSION.items()) + " END"
+_SQL_BASE = "regexp_extract(path, '[^/]*$')"
+_SQL_LANG = (
+    "coalesce(CASE " + _SQL_BASE + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_NAME.items()) + " END, CASE regexp_extract(lower(path), '(\\.[^./]+\\.[^./]+)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_COMPOUND.items())
+    + " END, CASE " + _SQL_EXT + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BY_EXTENSION.items()) + " END)"
+)
 
 
-@query(f"WITH {NODES} SELECT pid, path, CASE WHEN ends_with(lower(path), '.gen.rs') THEN 'generated-rust' ELSE {_SQL_LANG} END AS detected, CASE WHEN ends_with(lower(path), '.gen.rs') THEN 'override' WHEN {_SQL_LANG} IS NOT NULL THEN 'extension' END AS reason FROM node WHERE kind = 'file'")
+@query(f"""WITH {NODES} SELECT pid, path, CASE WHEN ends_with(lower(path), '.gen.rs') THEN 'generated-rust' ELSE {_SQL_LANG} END AS detected, CASE WHEN ends_with(lower(path), '.gen.rs') THEN 'override' WHEN {_SQL_BASE} IN ({', '.join(f"'{k}'" for k in BY_NAME)}) THEN 'filename'
+  WHEN regexp_extract(lower(path), '(\.[^./]+\.[^./]+)$', 1) IN ({', '.join(f"'{k}'" for k in BY_COMPOUND)}) THEN 'compound' WHEN {_SQL_LANG} IS NOT NULL THEN 'extension' END AS reason FROM node WHERE kind = 'file'""")
 def s008_language(spark: SparkSession, root: str) -> DataFrame:
     """Language of each file with the reason."""
     language, reason = detect_language(c("path"), {".gen.rs": "generated-rust"})
     return nodes(spark, root).where("kind = 'file'").select("pid", "path", language.alias("detected"), reason.alias("reason"))
 
 
-def content_class(language, is_text):
-    """Class of a language, else other_text for text and opaque for the rest."""
-    return F.coalesce(lookup(language, CLASS_OF), F.when(is_text, "other_text").otherwise("opaque"))
-
-
 _SQL_CLASS = "coalesce(CASE " + " ".join(f"WHEN language = '{k}' THEN '{v}'" for k, v in CLASS_OF.items()) + " END, CASE WHEN has_text THEN 'other_text' ELSE 'opaque' END)"
 
 
 @query(f"WITH {NODES}, {TEXTS} SELECT class, count(*) AS files FROM (SELECT {_SQL_CLASS} AS class FROM (SELECT node.language, txt.path IS NOT NULL AS has_text FROM node LEFT JOIN txt USING (pid, path) WHERE kind = 'file')) GROUP BY class")
 def s010_content_class(spark: SparkSession, root: str) -> DataFrame:
     """Files by content class."""
-    f = nodes(spark, root).where("kind = 'file'").join(latest_texts(spark, root).select("pid", "path", F.lit(True).alias("has_text")), ["pid", "path"], "left")
+    f = nodes(spark, root).where("kind = 'file'").join(latest_states(spark, root).select("pid", "path", F.lit(True).alias("has_text")), ["pid", "path"], "left")
     return f.groupBy(content_class(c("language"), F.coalesce("has_text", F.lit(False))).alias("class")).agg(F.count(F.lit(1)).alias("files"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
 from treeline.functions import text as T
-from treeline.operators.changes import delta, replace_scan, upsert
+from treeline.operators.changes import delta, replace_scan, set_digest, upsert
 from treeline.operators.search import bounded, page, search_lines
-from treeline.plans.index_tables import NODES, TEXTS, latest_texts, nodes
+from treeline.plans.index_tables import NODES, TEXTS, from_latest_texts, latest_states, nodes
 from treeline.plans.paths_and_text import _SQL_LINES
 from treeline.plans.registry import query
 from treeline.sources.tables import hex_key, table
@@ -19,38 +19,43 @@ c = F.col
 _EXPLODED = f"{TEXTS}, ln AS (SELECT pid, path, l, unnest(range(1, len(l) + 1)) AS line_no FROM (SELECT pid, path, {_SQL_LINES} AS l FROM txt)), line AS (SELECT pid, path, l, line_no::INT AS line_no, l[line_no] AS line FROM ln)"
 
 
+def lines_of(spark: SparkSession, root: str, pattern: str, **mode) -> DataFrame:
+    """Matching lines of the last texts."""
+    return from_latest_texts(spark, root, lambda t: search_lines(t, ["pid", "path", "_k"], pattern, **mode))
+
+
 @query(f"WITH {_EXPLODED} SELECT pid, path, line_no, line FROM line WHERE contains(line, 'return ')")
 def s248_search_literal(spark: SparkSession, root: str) -> DataFrame:
-    return search_lines(latest_texts(spark, root), ["pid", "path"], "return ")
+    return lines_of(spark, root, "return ")
 
 
 @query(f"WITH {_EXPLODED} SELECT pid, path, line_no, line, l[greatest(line_no - 2, 1):line_no - 1] AS before, l[line_no + 1:line_no + 2] AS after FROM line WHERE contains(lower(line), 'working tree')")
 def s178_search_context(spark: SparkSession, root: str) -> DataFrame:
     """Case-insensitive literal with two lines before and after."""
-    return search_lines(latest_texts(spark, root), ["pid", "path"], "Working Tree", context=2, case_sensitive=False)
+    return lines_of(spark, root, "Working Tree", context=2, case_sensitive=False)
 
 
 @query(f"WITH {_EXPLODED} SELECT pid, path, line_no, line FROM line WHERE regexp_matches(line, '\\b(def|fn|func) [a-z_]+_?cache\\b')")
 def s052_search_regex(spark: SparkSession, root: str) -> DataFrame:
-    return search_lines(latest_texts(spark, root), ["pid", "path"], r"\b(def|fn|func) [a-z_]+_?cache\b", regex=True)
+    return lines_of(spark, root, r"\b(def|fn|func) [a-z_]+_?cache\b", regex=True)
 
 
 @query(f"WITH {_EXPLODED} SELECT pid, path, line_no, line FROM line WHERE regexp_matches(line, 'p.*b.*l.*s.*h.*q.*u.*e.*u.*e')")
 def s053_search_fuzzy(spark: SparkSession, root: str) -> DataFrame:
-    return search_lines(latest_texts(spark, root), ["pid", "path"], "pblshqueue", fuzzy=True)
+    return lines_of(spark, root, "pblshqueue", fuzzy=True)
 
 
 @query(f"WITH {_EXPLODED} SELECT pid, path, line_no, line, (row_number() OVER (ORDER BY pid, path, line_no) - 1)::INT AS position FROM line WHERE contains(line, 'import') QUALIFY position BETWEEN 20 AND 69")
 def s177_search_page(spark: SparkSession, root: str) -> DataFrame:
     """The second page of a search, 50 lines from the 20th."""
-    return page(search_lines(latest_texts(spark, root), ["pid", "path"], "import"), ["pid", "path", "line_no"], 50, 20)
+    return page(lines_of(spark, root, "import"), ["pid", "path", "line_no"], 50, 20)
 
 
 @query(f"""WITH {TEXTS}, w AS (SELECT pid, path, row_number() OVER (PARTITION BY pid ORDER BY path) n, sum(strlen(content)) OVER (PARTITION BY pid ORDER BY path) b FROM txt)
 SELECT pid, path, CASE WHEN n > 20 THEN 'files' WHEN b > 30000 THEN 'bytes' END AS reason, n <= 20 AND b <= 30000 AS admitted FROM w""")
 def s251_search_bounds(spark: SparkSession, root: str) -> DataFrame:
     """Which texts of a repository a bounded search reads."""
-    t = latest_texts(spark, root).withColumn("bytes", F.octet_length("content"))
+    t = from_latest_texts(spark, root, lambda x: x.select("pid", "path", "_k", F.octet_length("content").alias("bytes")))
     return bounded(t, c("bytes"), ["path"], 20, 30_000, ["pid"]).select("pid", "path", "reason", "admitted")
 
 
@@ -88,28 +93,30 @@ def s030_replace_scan(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {NODES}, {TEXTS} SELECT pid, path FROM txt WHERE NOT EXISTS (SELECT 1 FROM node WHERE node.pid = txt.pid AND node.path = txt.path AND kind = 'file' AND exists_now)")
 def s028_texts_of_absent(spark: SparkSession, root: str) -> DataFrame:
     """Texts whose node is gone: what a publication deletes."""
-    return latest_texts(spark, root).select("pid", "path").join(nodes(spark, root).where("kind = 'file' AND exists_now"), ["pid", "path"], "left_anti")
+    return latest_states(spark, root).select("pid", "path").join(nodes(spark, root).where("kind = 'file' AND exists_now"), ["pid", "path"], "left_anti")
 
 
 @query(f"WITH {NODES}, {TEXTS} SELECT pid, path FROM node WHERE kind = 'file' AND exists_now AND NOT EXISTS (SELECT 1 FROM txt WHERE node.pid = txt.pid AND node.path = txt.path)")
 def s085_files_without_text(spark: SparkSession, root: str) -> DataFrame:
     """Anti-join for completeness: live files with no stored text."""
-    return nodes(spark, root).where("kind = 'file' AND exists_now").select("pid", "path").join(latest_texts(spark, root), ["pid", "path"], "left_anti")
+    return nodes(spark, root).where("kind = 'file' AND exists_now").select("pid", "path").join(latest_states(spark, root), ["pid", "path"], "left_anti")
 
 
 @query(f"WITH {NODES}, {TEXTS} SELECT node.pid, count(*) FILTER (node.content_hash IS DISTINCT FROM txt.content_hash) AS stale, count(*) AS indexed FROM node JOIN txt USING (pid, path) WHERE kind = 'file' GROUP BY 1")
 def s319_freshness(spark: SparkSession, root: str) -> DataFrame:
     """Per repository, texts that no longer match their node."""
-    t = latest_texts(spark, root).select("pid", "path", c("content_hash").alias("h"))
+    t = latest_states(spark, root).select("pid", "path", c("content_hash").alias("h"))
     return nodes(spark, root).where("kind = 'file'").join(t, ["pid", "path"]).groupBy("pid").agg(F.count_if(~c("content_hash").eqNullSafe(c("h"))).alias("stale"), F.count(F.lit(1)).alias("indexed"))
 
 
-@query(f"WITH {NODES} SELECT pid, sha256(string_agg(length(path)::VARCHAR || ':' || path || ';' || coalesce(content_hash, '-') || ';', '' ORDER BY path)) AS digest FROM node WHERE exists_now GROUP BY pid")
+_LANES_SQL = ", ".join(f"sum(('0x' || substr(h, {1 + 12 * i}, 12))::BIGINT)::HUGEINT AS s{i}" for i in range(5))
+
+
+@query(f"WITH {NODES}, i AS (SELECT pid, sha256(length(path)::VARCHAR || ':' || path || ';' || CASE WHEN content_hash IS NULL THEN '-;' ELSE length(content_hash)::VARCHAR || ':' || content_hash || ';' END) h FROM node WHERE exists_now), g AS (SELECT pid, count(*) n, {_LANES_SQL} FROM i GROUP BY pid) SELECT pid, sha256(concat_ws('.', n, s0, s1, s2, s3, s4)) AS digest FROM g")
 def s044_state_digest(spark: SparkSession, root: str) -> DataFrame:
-    """Digest of a repository's live nodes in path order."""
-    item = F.struct("path", F.concat(F.char_length("path").cast("string"), F.lit(":"), "path", F.lit(";"), F.coalesce("content_hash", F.lit("-")), F.lit(";")).alias("t"))
-    parts = nodes(spark, root).where("exists_now").groupBy("pid").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    return parts.select("pid", F.sha2(F.array_join(F.transform("a", lambda x: x["t"]), ""), 256).alias("digest"))
+    """Digest of a repository's live nodes, the same in whatever order they come."""
+    live = nodes(spark, root).where("exists_now").select("pid", T.framed(c("path"), c("content_hash")).alias("item"))
+    return live.groupBy("pid").agg(set_digest(c("item")).alias("digest"))
 
 
 # ---------------------------------------------------------------- overview, health, duplicates
@@ -179,18 +186,22 @@ def s201_unresolved(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {_HEALTH}, o AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY category, path, coalesce(related_path, '')) - 1 i, count(*) OVER (PARTITION BY pid) total FROM finding) SELECT pid, category, path, related_path, i::INT AS position, total FROM o WHERE i BETWEEN 5 AND 14")
 def s192_health_page(spark: SparkSession, root: str) -> DataFrame:
-    """Findings 5 to 14 of each repository with their number."""
+    """Findings 5 to 14 of each repository with their number.
+
+    A rank under a bound is cut to its first rows before the exchange; the numbers are counted apart.
+    """
+    f = health_findings(purposes(spark, root))
     w = W.partitionBy("pid").orderBy("category", "path", F.coalesce("related_path", F.lit("")))
-    f = health_findings(purposes(spark, root)).withColumn("position", F.row_number().over(w) - 1).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("pid")))
-    return f.where("position BETWEEN 5 AND 14")
+    top = f.withColumn("n", F.row_number().over(w)).where("n <= 15").withColumn("position", c("n") - 1).where("position >= 5").drop("n")
+    return top.join(f.groupBy("pid").agg(F.count(F.lit(1)).alias("total")), "pid").select("pid", "category", "path", "related_path", "position", "total")
 
 
-@query(f"WITH {NODES}, {TEXTS} SELECT content_hash, count(*) AS copies, string_agg(pid || '/' || path, ' | ' ORDER BY pid, path) AS places FROM txt WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
+@query(f"WITH {TEXTS}, k AS (SELECT content_hash, count(*) AS copies, min(path) AS first_path FROM txt WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) >= 2) SELECT content_hash, copies, first_path, pid, path FROM txt JOIN k USING (content_hash)")
 def s141_duplicates(spark: SparkSession, root: str) -> DataFrame:
-    """Texts held under several paths."""
-    place = F.struct("pid", "path")
-    g = latest_texts(spark, root).where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list(place)).alias("p")).where("copies >= 2")
-    return g.select("content_hash", "copies", F.array_join(F.transform("p", lambda x: F.concat(x["pid"], F.lit("/"), x["path"])), " | ").alias("places"))
+    """Texts held under several paths: one row per place, with the number of copies and the least path of its class."""
+    t = latest_states(spark, root).where("content_hash IS NOT NULL").select("content_hash", "pid", "path")
+    k = t.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path")).where("copies >= 2")
+    return t.join(k, "content_hash").select("content_hash", "copies", "first_path", "pid", "path")
 
 
 @query(f"""WITH {_PURPOSES}, f AS (SELECT pid, path, string_split(path, '/') p FROM node WHERE kind = 'file'), up AS (SELECT pid, path, array_to_string(p[1:i], '/') a, len(p) - i d FROM (SELECT *, unnest(range(1, len(p) + 1)) i FROM f) UNION ALL SELECT pid, path, '.', len(p) FROM f)
@@ -239,7 +250,7 @@ s AS (SELECT pid, path, e::INT e, m::INT m, (reviewed AND iu)::INT r, (CASE WHEN
 SELECT pid, path, score, reasons, (row_number() OVER (PARTITION BY pid ORDER BY e DESC, m DESC, r DESC, score DESC, path))::INT AS rank FROM s WHERE e + m + r + score > 0 QUALIFY rank <= 10""")
 def s159_rank(spark: SparkSession, root: str) -> DataFrame:
     """The ten files of each repository most relevant to 'cache.py', with reasons."""
-    hit = latest_texts(spark, root).select("pid", "path", c("content").contains("cache").alias("text_hit"))
+    hit = from_latest_texts(spark, root, lambda t: t.where(c("content").contains("cache")).select("pid", "path", "_k")).withColumn("text_hit", F.lit(True))
     files = purposes(spark, root).where("kind = 'file'").join(hit, ["pid", "path"], "left").withColumn("text_hit", F.coalesce("text_hit", F.lit(False)))
     files = files.withColumn("reviewed", (c("status") == "approved") & (c("source") == "agent"))
     return rank_files(files, "cache.py", ["cache", "python"], 10)
