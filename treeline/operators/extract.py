@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
@@ -38,24 +41,37 @@ def imports(texts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where(line.rlike(IMPORT)).select(*keys, (F.col("_i") + 1).alias("line_no"), line.alias("text"))
 
 
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
+_ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
+
+
+def _atx(text: str) -> list[tuple[int, int, str]]:
+    out, fence = [], None
+    for i, line in enumerate(text.split("\n"), 1):
+        mark = _FENCE.match(line)
+        if fence:
+            # Only a run of the same mark, at least as long and with nothing after it, ends a block.
+            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
+                fence = None
+        elif mark and not (mark[1][0] == "`" and "`" in mark[2]):
+            fence = mark[1]
+        elif "#" in line and (h := _ATX.match(line.rstrip("\r"))):
+            out.append((i, len(h[1]), h[2]))
+    return out
+
+
 def headings(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, line_no, level, title, slug) of ATX headings outside fenced code."""
-    rows = texts.select(*keys, F.posexplode(_outside_fences(F.col("content"))).alias("_i", "_l"))
-    rx = r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
-    title = F.regexp_extract("_l", rx, 2)
-    return rows.where(F.col("_l").rlike(rx)).select(*keys, (F.col("_i") + 1).alias("line_no"), F.char_length(F.regexp_extract("_l", rx, 1)).alias("level"), title.alias("title"), T.slug(title).alias("slug"))
-
-
-def _outside_fences(content: Column) -> Column:
-    """Lines with those inside (and of) fenced code made null: the number of fence lines before tells."""
-    folded = F.aggregate(
-        T.lines(content),
-        F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.when(x.rlike(r"^ {0,3}(```|~~~)"), F.struct((~acc["inside"]).alias("inside"), F.concat(acc["out"], F.array(F.lit(None).cast("string"))).alias("out"))).otherwise(
-            F.struct(acc["inside"].alias("inside"), F.concat(acc["out"], F.array(F.when(~acc["inside"], x))).alias("out"))
-        ),
-    )
-    return folded["out"]
+    """(keys, line_no, level, title, slug) of ATX headings outside fenced code. Null and empty texts have none.
+
+    Whether a line is code depends on all before it; one pass per text, in Arrow batches behind the scan, tells.
+    """
+
+    @F.pandas_udf("array<struct<line_no:int,level:int,title:string>>")
+    def found(content: pd.Series) -> pd.Series:
+        return content.map(lambda t: _atx(t) if t else [])
+
+    rows = texts.where(F.col("content").contains("#")).select(*keys, F.explode(found("content")).alias("h"))
+    return rows.select(*keys, "h.line_no", "h.level", "h.title", T.slug(F.col("h.title")).alias("slug"))
 
 
 def links(texts: DataFrame, keys: list[str]) -> DataFrame:

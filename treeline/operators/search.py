@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import text as T
 
-MAX_PATTERN, MAX_CONTEXT, MAX_LIMIT = 64 * 1024, 20, 1000
+MAX_PATTERN, MAX_CONTEXT, MAX_LIMIT, MAX_START = 64 * 1024, 20, 1000, 100_000
 
 
 class SearchError(ValueError):
@@ -49,17 +49,31 @@ def search_lines(texts: DataFrame, keys: list[str], pattern: str, context: int =
     return rows.select(*keys, "line_no", "line", before.alias("before"), after.alias("after"))
 
 
-def page(rows: DataFrame, order: list, limit: int, start: int = 0) -> DataFrame:
-    """Rows start..start+limit-1 of a total order, with their positions from 0."""
-    if not 0 < limit <= MAX_LIMIT:
-        raise SearchError("limit out of range")
+def page(rows: DataFrame, order: list[str], limit: int, start: int = 0, after: tuple | None = None) -> DataFrame:
+    """Rows start..start+limit-1 of a total order, with their positions from 0.
+
+    ``after``, the order values of the last row seen, goes on from there at any depth and at the cost of one page; positions
+    then count from that row. ``start`` is bounded, as all rows before the page have to be ordered in one task.
+    Null order values come first and can't be gone on from.
+    """
+    if not 0 < limit <= MAX_LIMIT or not 0 <= start <= MAX_START:
+        raise SearchError("limit or start out of range")
+    if after is not None:
+        rows = rows.where(F.struct(*order) > F.struct(*(F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(order, after, strict=True))))
     top = rows.orderBy(*order).limit(start + limit)
     return top.withColumn("position", F.row_number().over(W.orderBy(*order)) - 1).where(F.col("position") >= start)
 
 
-def bounded(files: DataFrame, size: Column, order: list, max_files: int, max_bytes: int, partition: list[str]) -> DataFrame:
-    """Files of each partition in order until a bound is met: adds ``admitted`` and the first ``reason`` that stopped."""
+def bounded(files: DataFrame, size: Column, order: list[str], max_files: int, max_bytes: int, partition: list[str]) -> DataFrame:
+    """Files of each partition in order until a bound is met: adds ``admitted`` and the first ``reason`` that stopped.
+
+    Only the first ``max_files`` of a partition have to be added up, and a rank under a bound is cut before the exchange;
+    whatever comes after the last of them is past the bound of files. Order values must tell the files of a partition apart.
+    """
     w = W.partitionBy(*partition).orderBy(*order)
-    n, b = F.row_number().over(w), F.sum(size).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    reason = F.when(n > max_files, "files").when(b > max_bytes, "bytes")
-    return files.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
+    first = files.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_files)
+    over = F.sum(size).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) > max_bytes
+    first = first.select(*partition, *order, F.when(over, "bytes").alias("_over"), F.lit(True).alias("_in"))
+    reason = F.when(F.col("_in").isNull(), "files").otherwise(F.col("_over"))
+    out = files.join(first, [*partition, *order], "left").withColumn("reason", reason).drop("_over", "_in")
+    return out.withColumn("admitted", F.col("reason").isNull())

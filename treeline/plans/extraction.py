@@ -52,11 +52,13 @@ def s224_link_targets(spark: SparkSession, root: str) -> DataFrame:
     return X.link_targets(found).select("doc_id", "target", "file")
 
 
-@query("""SELECT DISTINCT path, CASE WHEN regexp_matches(path, '^(?:.*/)?build(/.*)?$') THEN true WHEN regexp_matches(path, '^(?:.*/)?[^/]*\\.min\\.[^/]*(/.*)?$') THEN NOT regexp_matches(path, '^public/[^/]*.*$') ELSE false END AS ignored FROM nodes WHERE path IS NOT NULL""")
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT path FROM nodes WHERE path IS NOT NULL), up AS (SELECT path, path AS part FROM p UNION ALL SELECT path, regexp_extract(part, '^(.*)/[^/]*$', 1) FROM up WHERE contains(part, '/')),
+v AS (SELECT path, CASE WHEN part = 'src/build' THEN false WHEN regexp_matches(part, '^public/(.*/)?[^/]*\.min\.[^/]*$') THEN false WHEN regexp_matches(part, '(^|/)[^/]*\.min\.[^/]*$') THEN true WHEN part <> path AND regexp_matches(part, '(^|/)generated$') THEN true ELSE regexp_matches(part, '(^|/)build$') END AS out FROM up)
+SELECT path, bool_or(out) AS ignored FROM v GROUP BY 1""")
 def s007_gitignore(spark: SparkSession, root: str) -> DataFrame:
-    """Paths that an ignore file leaves out: build folders and minified files, those below public/ excepted."""
-    rules = ignore_rules(["# built", "build", "*.min.*", "!public/**/*.min.*"])
-    return table(spark, root, "nodes", "path").where("path IS NOT NULL").select("path", ignored(c("path"), rules).alias("ignored")).distinct()
+    """Paths that an ignore file leaves out: build and generated folders and minified files, those below public/ and src/build excepted."""
+    rules = ignore_rules(["# built", "build", "generated/", "*.min.*", "!public/**/*.min.*", "!src/build"])
+    return table(spark, root, "nodes", "path").where("path IS NOT NULL").distinct().select("path", ignored(c("path"), rules).alias("ignored"))
 
 
 @query("""WITH g AS (SELECT user_id AS owner, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 24 HOUR THEN 1 ELSE 0 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT owner, ts, sum(b) OVER (PARTITION BY owner ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g)

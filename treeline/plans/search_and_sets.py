@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,6 +51,12 @@ def s177_search_page(spark: SparkSession, root: str) -> DataFrame:
     return page(lines_of(spark, root, "import"), ["pid", "path", "line_no"], 50, 20)
 
 
+@query(f"WITH {_EXPLODED} SELECT pid, path, line_no, line, (row_number() OVER (ORDER BY pid, path, line_no) - 1)::INT AS position FROM line WHERE contains(line, 'import') AND (pid, path, line_no) > ('5', 'src/', 3) QUALIFY position < 50")
+def s176_search_after(spark: SparkSession, root: str) -> DataFrame:
+    """A page that goes on from the last row of another."""
+    return page(lines_of(spark, root, "import"), ["pid", "path", "line_no"], 50, after=("5", "src/", 3))
+
+
 @query(f"""WITH {TEXTS}, w AS (SELECT pid, path, row_number() OVER (PARTITION BY pid ORDER BY path) n, sum(strlen(content)) OVER (PARTITION BY pid ORDER BY path) b FROM txt)
 SELECT pid, path, CASE WHEN n > 20 THEN 'files' WHEN b > 30000 THEN 'bytes' END AS reason, n <= 20 AND b <= 30000 AS admitted FROM w""")
 def s251_search_bounds(spark: SparkSession, root: str) -> DataFrame:
@@ -140,33 +146,60 @@ def s115_overview(spark: SparkSession, root: str) -> DataFrame:
     return purposes(spark, root).groupBy("pid").agg(n(c("kind") == "file", "files"), n(c("kind") == "folder", "folders"), *(n(c("status") == s, s) for s in ("missing", "stale", "approved", "suggested")))
 
 
-HIGH_IMPACT = ["readme.md", "index.js", "mod.rs", "main.go", "lib.rs", "token.py", "worker.py"]
+# Names, prefixes and segments of files whose purpose must be reviewed, and names of folders for passing results.
+HIGH_IMPACT = (
+    "cargo.toml package.json pyproject.toml build.gradle build.gradle.kts settings.gradle settings.gradle.kts gradle.properties dockerfile makefile justfile main.rs lib.rs mod.rs main.py app.py server.py index.ts main.ts "
+    "server.ts app.ts index.tsx app.tsx"
+).split()
+HIGH_IMPACT_PREFIXES = [".github/workflows/"]
+HIGH_IMPACT_SEGMENTS = ["/migrations/", "/routes/", "/commands/", "/mcp"]
 TEMPORARY = ["tmp", "temp", "cache", "generated", "out", "output"]
 
 
-def health_findings(p: DataFrame) -> DataFrame:
-    """(pid, category, path, related_path) of all rules: missing, suggested, stale, unreviewed, duplicated purposes and repeated temporary folders.
+def high_impact(path: Column) -> Column:
+    """Whether a file path is named, begins or holds a segment as those that everything else leans on."""
+    low = F.lower(F.translate(path, "\\", "/"))
+    hit = P.basename(low).isin(HIGH_IMPACT)
+    for x in HIGH_IMPACT_PREFIXES:
+        hit = hit | low.startswith(x)
+    for x in HIGH_IMPACT_SEGMENTS:
+        hit = hit | low.contains(x)
+    return hit
 
-    A duplicate is reported for each approved node but the first (by path) with the same kind and purpose and,
-    for folders, the same parent. The rule for temporary folders needs two folders of one name.
-    """
-    none = F.lit(None).cast("string")
-    plain = lambda cond, name: p.where(cond).select("pid", F.lit(name).alias("category"), "path", none.alias("related_path"))
-    reviewed = (c("status") == "approved") & (c("source") == "agent")
-    review = (c("status") == "approved") & ~reviewed & ((c("kind") == "folder") | F.lower(P.basename(c("path"))).isin(HIGH_IMPACT))
-    key = W.partitionBy("pid", "kind", F.lower("purpose"), F.when(c("kind") == "folder", P.parent(c("path"))).otherwise("")).orderBy("path")
-    twice = p.where("status = 'approved'").withColumn("first", F.first("path").over(key)).where("first <> path").select("pid", F.lit("duplicate_purpose").alias("category"), "path", c("first").alias("related_path"))
+
+def plain_findings(p: DataFrame) -> DataFrame:
+    """Findings that one row tells: missing, suggested, stale and unreviewed purposes. One pass over the rows."""
+    reviewed = c("source").isin("agent", "human")
+    review = (c("status") == "approved") & ~reviewed & ((c("kind") == "folder") | high_impact(c("path")))
+    category = F.when(c("status") == "missing", "missing_purpose").when(c("status") == "suggested", "suggested_review").when(c("status") == "stale", "stale_purpose").when(review, "agent_review_required")
+    return p.select("pid", category.alias("category"), "path", F.lit(None).cast("string").alias("related_path")).where("category IS NOT NULL")
+
+
+def duplicate_findings(p: DataFrame) -> DataFrame:
+    """Approved nodes but the first (by path) with the same kind and purpose and, for folders, the same parent."""
+    key = ["pid", "kind", F.lower("purpose").alias("_p"), F.when(c("kind") == "folder", P.parent(c("path"))).otherwise("").alias("_in")]
+    a = p.where("status = 'approved' AND purpose IS NOT NULL").select(*key, "path")
+    first = a.groupBy("pid", "kind", "_p", "_in").agg(F.min("path").alias("related_path"))
+    return a.join(first, ["pid", "kind", "_p", "_in"]).where("path <> related_path").select("pid", F.lit("duplicate_purpose").alias("category"), "path", "related_path")
+
+
+def temporary_findings(p: DataFrame) -> DataFrame:
+    """Folders for passing results, where a repository has two or more of one name."""
     base = F.lower(P.basename(c("path")))
-    temp = p.where((c("kind") == "folder") & base.isin(TEMPORARY)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("pid", base))).where("n >= 2").select("pid", F.lit("temporary_folder").alias("category"), "path", none.alias("related_path"))
-    out = plain(c("status") == "missing", "missing_purpose")
-    for part in (plain(c("status") == "suggested", "suggested_review"), plain(c("status") == "stale", "stale_purpose"), plain(review, "agent_review_required"), twice, temp):
-        out = out.unionByName(part)
-    return out
+    t = p.where((c("kind") == "folder") & base.isin(TEMPORARY)).select("pid", base.alias("base"), "path")
+    many = t.groupBy("pid", "base").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return t.join(many, ["pid", "base"]).select("pid", F.lit("temporary_folder").alias("category"), "path", F.lit(None).cast("string").alias("related_path"))
 
 
+def health_findings(p: DataFrame) -> DataFrame:
+    """(pid, category, path, related_path) of all rules. p: pid, path, kind, status, source, purpose, one row per node."""
+    return plain_findings(p).unionByName(duplicate_findings(p)).unionByName(temporary_findings(p))
+
+
+_SQL_HIGH = f"(base IN ({', '.join(f"'{x}'" for x in HIGH_IMPACT)})" + "".join(f" OR starts_with(lower(path), '{x}')" for x in HIGH_IMPACT_PREFIXES) + "".join(f" OR contains(lower(path), '{x}')" for x in HIGH_IMPACT_SEGMENTS) + ")"
 _HEALTH = f"""{_PURPOSES}, b AS (SELECT *, lower(regexp_extract(path, '[^/]*$')) base, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END parent FROM purpose),
 finding AS (SELECT pid, 'missing_purpose' AS category, path, NULL AS related_path FROM b WHERE status = 'missing' UNION ALL SELECT pid, 'suggested_review', path, NULL FROM b WHERE status = 'suggested'
-UNION ALL SELECT pid, 'stale_purpose', path, NULL FROM b WHERE status = 'stale' UNION ALL SELECT pid, 'agent_review_required', path, NULL FROM b WHERE status = 'approved' AND source <> 'agent' AND (kind = 'folder' OR base IN ({', '.join(f"'{x}'" for x in HIGH_IMPACT)}))
+UNION ALL SELECT pid, 'stale_purpose', path, NULL FROM b WHERE status = 'stale' UNION ALL SELECT pid, 'agent_review_required', path, NULL FROM b WHERE status = 'approved' AND source <> 'agent' AND (kind = 'folder' OR {_SQL_HIGH})
 UNION ALL SELECT pid, 'duplicate_purpose', path, f FROM (SELECT *, first(path) OVER (PARTITION BY pid, kind, lower(purpose), CASE WHEN kind = 'folder' THEN parent ELSE '' END ORDER BY path) f FROM b WHERE status = 'approved') WHERE f <> path
 UNION ALL SELECT pid, 'temporary_folder', path, NULL FROM (SELECT *, count(*) OVER (PARTITION BY pid, base) k FROM b WHERE kind = 'folder' AND base IN ({', '.join(f"'{x}'" for x in TEMPORARY)})) WHERE k >= 2)"""
 
@@ -176,6 +209,25 @@ def s303_health(spark: SparkSession, root: str) -> DataFrame:
     return health_findings(purposes(spark, root))
 
 
+def _rule(name: str, category: str, find) -> None:
+    @query(f"WITH {_HEALTH} SELECT pid, path, related_path FROM finding WHERE category = '{category}'", name=name)
+    def rule(spark: SparkSession, root: str) -> DataFrame:
+        return find(purposes(spark, root)).where(c("category") == category).select("pid", "path", "related_path")
+
+
+for _name, _category, _find in (
+    ("s304_missing_purpose", "missing_purpose", plain_findings), ("s305_suggested_review", "suggested_review", plain_findings), ("s306_stale_purpose", "stale_purpose", plain_findings),
+    ("s307_agent_review", "agent_review_required", plain_findings), ("s308_duplicate_purpose", "duplicate_purpose", duplicate_findings), ("s309_temporary_folder", "temporary_folder", temporary_findings),
+):
+    _rule(_name, _category, _find)
+
+
+@query(f"WITH {NODES} SELECT pid, path FROM (SELECT pid, path, lower(regexp_extract(path, '[^/]*$')) base FROM node WHERE kind = 'file') WHERE {_SQL_HIGH}")
+def s062_high_impact(spark: SparkSession, root: str) -> DataFrame:
+    """Files whose purpose must be reviewed."""
+    return nodes(spark, root).where("kind = 'file'").where(high_impact(c("path"))).select("pid", "path")
+
+
 @query(f"WITH {_HEALTH} SELECT pid, category, path, related_path, category || ':' || path || ':' || coalesce(related_path, '') AS finding_id FROM finding WHERE length(path) % 2 = 1")
 def s201_unresolved(spark: SparkSession, root: str) -> DataFrame:
     """Findings without those that were resolved (here: of paths of even length), with their ids."""

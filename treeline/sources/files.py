@@ -13,8 +13,8 @@ from treeline.functions import text as T
 MAX_TEXT_BYTES = 8 * 1024 * 1024
 
 
-def ignore_rules(lines: list[str]) -> list[tuple[bool, str]]:
-    """Rules of an ignore file, in order: (excludes, regular expression over paths from its folder)."""
+def ignore_rules(lines: list[str]) -> list[tuple[bool, bool, str]]:
+    """Rules of an ignore file, in order: (excludes, folders only, regular expression over paths from its folder)."""
     out = []
     for line in lines:
         rule = line.rstrip("\n\r")
@@ -25,20 +25,31 @@ def ignore_rules(lines: list[str]) -> list[tuple[bool, str]]:
         rule = rule[1:] if negated else rule.removeprefix("\\")
         folder_only, rule = rule.endswith("/"), rule.rstrip("/")
         anchored = "/" in rule
-        body = P.glob_regex(rule.lstrip("/") if anchored else "**/" + rule)[1:-1]
-        out.append((not negated, f"^{body}{'/.*' if folder_only else '(/.*)?'}$"))
+        out.append((not negated, folder_only, P.glob_regex(rule.lstrip("/") if anchored else "**/" + rule)))
     return out
 
 
-def ignored(c: Column, rules: list[tuple[bool, str]]) -> Column:
-    """Whether the last rule that matches a path excludes it; a file below an excluded folder stays excluded."""
-    out = F.lit(False)
-    for excludes, rx in rules:
-        out = F.when(c.rlike(rx), F.lit(excludes)).otherwise(out)
-    return out
+def ignored(c: Column, rules: list[tuple[bool, bool, str]], folder: Column | None = None) -> Column:
+    """Whether an ignore file leaves a path out.
+
+    The path and each folder above it are asked in turn, the last rule that matches one decides about it. What lies below
+    an excluded folder stays excluded, whatever re-includes it by name. ``folder`` tells whether the path itself is one
+    (none is, if not given).
+    """
+    own = F.lit(False) if folder is None else folder
+
+    def verdict(p: Column, is_folder: Column) -> Column:
+        out = F.lit(False)
+        for excludes, folder_only, rx in rules:
+            hit = p.rlike(rx) & is_folder if folder_only else p.rlike(rx)
+            out = F.when(hit, F.lit(excludes)).otherwise(out)
+        return out
+
+    above = F.filter(P.ancestors(c), lambda p: (p != c) & (p != "."))
+    return verdict(c, own) | F.exists(above, lambda p: verdict(p, F.lit(True)))
 
 
-def scan_tree(spark: SparkSession, root: str, exclude: list[str] = (), rules: list[tuple[bool, str]] = ()) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, exclude: list[str] = (), rules: list[tuple[bool, bool, str]] = ()) -> DataFrame:
     """(path, parent_path, kind, extension, size_bytes, mtime_ns, content_hash): files under ``root`` and the folders that hold them.
 
     Read by Spark's binary source in parallel; excluded paths are dropped before their bytes are hashed. Folders

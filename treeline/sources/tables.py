@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,16 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset and everything runs in one process (tests), a temporary folder is used; on a cluster, executors
+    would each write to their own disk, so that is refused.
+    """
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="treeline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
@@ -37,11 +43,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared folder and read again: smaller than a checkpoint of wide rows."""
+    """``df`` written as a table to the shared folder and read again: smaller than a checkpoint of wide rows.
+
+    The table is removed when the driver's JVM ends.
+    """
+    return written_counting(df)[0]
+
+
+def written_counting(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``written``, with aggregates over the rows that the write itself takes, so that no further job has to."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
+    seen = Observation() if metrics else None
+    (df.observe(seen, *(v.alias(k) for k, v in metrics.items())) if metrics else df).write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), seen.get if metrics else {}
 
 
 def hex_key(col: Column | str) -> Column:
