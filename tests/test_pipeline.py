@@ -103,3 +103,46 @@ def test_orphans_by_period(spark):
     assert {(r.key, r.period, r.refs) for r in orphan_groups(children, parents).collect() if r.target == 0} == {("a", 2, 1), ("b", 5, 1), ("c", 4, 1), ("d", 4, 2)}
     assert orphan_rows(children.limit(0), parents, ["row"]).count() == 0
     assert orphan_rows(children, parents.limit(0), ["row"]).count() == 8
+
+
+def test_log_capture_takes_records_that_tie_with_the_end_of_a_range(spark, tmp_path):
+    cap = LogCapture(spark, str(tmp_path), merge=2)
+    log = [("p", 10, "a", 1, "1", "")]
+    assert [r.key for r in cap.run(spark.createDataFrame(log, LOG)).collect()] == ["a"]
+    log += [("p", 10, "b", 1, "1", "")]  # same offset, came later
+    assert [r.key for r in cap.run(spark.createDataFrame(log, LOG)).collect()] == ["b"]
+    assert cap.run(spark.createDataFrame(log, LOG)).count() == 0
+    log += [("p", 12, "a", 2, "2", ""), ("q", 12, "a", 1, "1", "")]
+    assert {(r.part, r.key) for r in cap.run(spark.createDataFrame(log, LOG)).collect()} == {("p", "a"), ("q", "a")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_log_capture_with_crashes_delivers_every_change_once(spark, tmp_path, seed):
+    """A growing log, a crash at a random point of some batches; what is delivered in the end is what a run without crashes delivers."""
+    r = random.Random(seed)
+    log, offset, seen, state = [], 0, [], {}
+    for _ in range(6):
+        for _ in range(r.randrange(1, 6)):
+            offset += r.randrange(0, 2)
+            log.append((r.choice("pq"), offset, r.choice("xyz"), offset, r.choice("12"), ""))
+        df = spark.createDataFrame(log, LOG)
+        cap = LogCapture(spark, str(tmp_path), merge=3, common=True)
+        crash = r.choice(["no", "plan", "apply"])
+        n = cap.plan(df)
+        if crash == "no" or crash == "apply":
+            cap.apply(df, n)
+        if crash != "no":
+            continue
+        cap.commit(n)
+        seen += [(x.part, x.key, x.version, x.value) for x in spark.read.parquet(f"{tmp_path}/out/{n}").collect()]
+    df = spark.createDataFrame(log, LOG)
+    for _ in range(2):  # a waiting plan, then the rest
+        seen += [(x.part, x.key, x.version, x.value) for x in LogCapture(spark, str(tmp_path), merge=3).run(df).collect()]
+    for part, _, key, version, value, _ in log:
+        state[part, key] = max(state.get((part, key), (version, value)), (version, value))
+    assert len(seen) == len(set(seen))
+    last = {}
+    for part, key, version, value in seen:
+        assert (part, key) not in last or last[part, key][1] != value
+        last[part, key] = (version, value)
+    assert {k: v[1] for k, v in last.items()} == {k: v[1] for k, v in state.items()}

@@ -11,11 +11,15 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.sources.tables import checkpointed
+from treeline.sources.tables import checkpointed, written, written_counting
 
 MERGE = 16  # rounds of a search whose findings are brought into one table
 
 
+def _rows():
+    return F.count(F.lit(1))
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("pid", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -31,8 +35,8 @@ def bounded_bfs(edges: DataFrame, anchors: DataFrame, depth: int | None = None)
     frontier = seen
     for step in count(1) if depth is None else range(1, depth + 1):
         nxt = frontier.select("pid", F.col("node").alias("src")).join(links, ["pid", "src"]).select("pid", F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(nxt.join(seen.select("pid", "node"), ["pid", "node"], "left_anti").withColumn("hops", F.lit(step)))
-        if frontier.isEmpty():
+        frontier, met = written_counting(nxt.join(seen.select("pid", "node"), ["pid", "node"], "left_anti").withColumn("hops", F.lit(step)), n=_rows())
+        if not met["n"]:
             break
         seen = seen.unionByName(frontier)
         if step % MERGE == 0:
@@ -40,72 +44,99 @@ def bounded_bfs(edges: DataFrame, anchors: DataFrame, depth: int | None = None)
     return seen
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """The least label that reaches each node along edges. labels: pid, node, label."""
-    changed = True
-    while changed:
-        offers = edges.join(labels.select("pid", F.col("node").alias("src"), F.col("label").alias("offer")), ["pid", "src"]).groupBy("pid", F.col("dst").alias("node")).agg(F.min("offer").alias("offer"))
-        nxt = labels.join(offers, ["pid", "node"], "left").select("pid", "node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved"))
-        # Shortcut: a label is itself a node; take that node's label, which halves the way to the root.
-        jump = nxt.select("pid", F.col("node").alias("label"), F.col("label").alias("further"))
-        nxt = checkpointed(nxt.join(jump, ["pid", "label"], "left").select("pid", "node", F.least("label", "further").alias("label"), (F.coalesce("moved", F.lit(False)) | F.coalesce(F.col("further") < F.col("label"), F.lit(False))).alias("moved")))
-        changed = not nxt.where("moved").isEmpty()
-        labels = nxt.drop("moved")
-    return labels
+def paths_back(edges: DataFrame, reached: DataFrame, targets: DataFrame, depth: int | None = None) -> DataFrame:
+    """(pid, target, step, node): one shortest way from an anchor to each target (pid, target) that was reached.
+
+    reached: pid, node, hops of ``bounded_bfs`` over the same edges. Of several ways the one over the least nodes, seen from the target, is
+    taken. Walked back one step a round for all targets at once, up to ``depth`` rounds or until all ways begin.
+    """
+    hops = checkpointed(reached.select("pid", "node", "hops"))
+    into = edges.dropna(subset=["src", "dst"]).select("pid", "src", "dst").distinct()
+    before = into.join(hops.select("pid", F.col("node").alias("src"), F.col("hops").alias("_h")), ["pid", "src"])
+    before = before.join(hops.select("pid", F.col("node").alias("dst"), "hops"), ["pid", "dst"]).where("_h = hops - 1")
+    parent = checkpointed(before.groupBy("pid", F.col("dst").alias("node")).agg(F.min("src").alias("parent")))
+    now = checkpointed(targets.select("pid", "target").distinct().join(hops.select("pid", F.col("node").alias("target"), F.col("hops").alias("step")), ["pid", "target"]).select("pid", "target", "step", F.col("target").alias("node")))
+    out = now
+    for k in count(1) if depth is None else range(1, depth + 1):
+        now, left = written_counting(now.where("step > 0").join(parent, ["pid", "node"]).select("pid", "target", (F.col("step") - 1).alias("step"), F.col("parent").alias("node")), n=_rows())
+        if not left["n"]:
+            break
+        out = out.unionByName(now)
+        if k % MERGE == 0:
+            out = checkpointed(out)
+    return out
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pid, node, component): component is the least node connected whatever the direction; lone nodes are their own."""
-    links = edges.dropna(subset=["src", "dst"]).where("src <> dst").select("pid", "src", "dst")
-    both = checkpointed(links.unionByName(reverse(links)).distinct())
-    labels = nodes.select("pid", "node").distinct().withColumn("label", F.col("node"))
-    return _spread(labels, both).withColumnRenamed("label", "component")
+    """(pid, node, component): component is the least node connected whatever the direction; lone nodes are their own.
+
+    Two star operations in turn: every node's greater neighbours are hung on the least node around it, then its lesser ones and
+    itself. The number of rounds grows with the logarithm of the nodes, not with the length of ways. A node with very many
+    neighbours takes part with one row on one side of each join, which can be split on the other. Whether a round changed
+    anything is told by sums its write takes.
+    """
+    links = edges.dropna(subset=["src", "dst"]).where("src <> dst")
+    up = written(links.select("pid", F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    mark = {"n": _rows(), "h": F.sum(F.xxhash64("pid", "a", "b").cast("decimal(38,0)"))}
+    last = None
+    while True:
+        around = up.select("pid", F.explode(F.array(F.struct(F.col("a").alias("b"), F.col("b").alias("m")), F.struct("b", F.col("b").alias("m")))).alias("s")).select("pid", "s.*").groupBy("pid", "b").agg(F.min("m").alias("m"))
+        large = written(up.join(around, ["pid", "b"]).select("pid", "a", F.col("m").alias("b")).distinct())
+        least = large.groupBy("pid", "a").agg(F.min("b").alias("m"))
+        hung = large.join(least, ["pid", "a"]).select("pid", F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s")).select("pid", "s.*")
+        up, now = written_counting(hung.where("a <> b").distinct(), **mark)
+        if now == last:
+            break
+        last = now
+    root = up.groupBy("pid", F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return nodes.select("pid", "node").distinct().join(root, ["pid", "node"], "left").select("pid", "node", F.coalesce("component", "node").alias("component"))
+
+
+def _among(links: DataFrame, keep: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes kept."""
+    return links.join(keep.select("pid", F.col("node").alias("src")), ["pid", "src"], "left_semi").join(keep.select("pid", F.col("node").alias("dst")), ["pid", "dst"], "left_semi").select("pid", "src", "dst")
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(pid, node, component): nodes that reach each other share the least of their names.
 
-    Forward-backward colouring: labels spread forwards without shortcuts over other colours; within a colour the nodes
-    that reach its root backwards are one component and leave. Nodes without way in or out leave first.
+    Forward-backward colouring: labels spread forwards over the nodes that have a way in and out; within a colour the nodes
+    that reach its root backwards are one component and leave. Every other node is its own.
     """
-    left = nodes.select("pid", "node").distinct()
-    links = checkpointed(edges.dropna(subset=["src", "dst"]).select("pid", "src", "dst").distinct())
+    links, some = written_counting(edges.dropna(subset=["src", "dst"]).where("src <> dst").select("pid", "src", "dst").distinct(), n=_rows())
     done = None
-    while True:
-        trimmed = True
-        while trimmed:
-            inner = links.where("src <> dst")
-            alive = left.join(inner.select("pid", F.col("src").alias("node")).distinct(), ["pid", "node"], "left_semi").join(inner.select("pid", F.col("dst").alias("node")).distinct(), ["pid", "node"], "left_semi")
-            alive = checkpointed(alive)
-            gone = left.join(alive, ["pid", "node"], "left_anti").withColumn("component", F.col("node"))
-            gone = checkpointed(gone)
-            trimmed = not gone.isEmpty()
-            done = gone if done is None else done.unionByName(gone)
-            left = alive
-            keep = left.withColumnRenamed("node", "x")
-            links = checkpointed(links.join(keep.withColumnRenamed("x", "src"), ["pid", "src"], "left_semi").join(keep.withColumnRenamed("x", "dst"), ["pid", "dst"], "left_semi").select("pid", "src", "dst"))
-        if left.isEmpty():
-            return done
-        colour = _spread_plain(left.withColumn("label", F.col("node")), links)
+    while some["n"]:
+        # Nodes without way in or out are in no cycle; without them others may be such nodes.
+        while True:
+            alive = links.select("pid", F.col("src").alias("node")).intersect(links.select("pid", F.col("dst").alias("node")))
+            before = some["n"]
+            links, some = written_counting(_among(links, alive), n=_rows())
+            if some["n"] == before or not some["n"]:
+                break
+        if not some["n"]:
+            break
+        ends = links.select("pid", F.col("src").alias("node")).distinct()
+        colour = _spread(ends.withColumn("label", F.col("node")), links)
         same = links.join(colour.select("pid", F.col("node").alias("src"), F.col("label").alias("cs")), ["pid", "src"]).join(colour.select("pid", F.col("node").alias("dst"), F.col("label").alias("cd")), ["pid", "dst"]).where("cs = cd")
-        within = checkpointed(same.select("pid", "src", "dst"))
-        back = bounded_bfs(reverse(within), colour.where("node = label").select("pid", "node")).select("pid", "node")
-        members = checkpointed(back.join(colour, ["pid", "node"]).select("pid", "node", F.col("label").alias("component")))
+        back = bounded_bfs(reverse(same), colour.where("node = label").select("pid", "node")).select("pid", "node")
+        members = written(back.join(colour, ["pid", "node"]).select("pid", "node", F.col("label").alias("component")))
         done = members if done is None else done.unionByName(members)
-        left = checkpointed(left.join(members, ["pid", "node"], "left_anti"))
-        keep = left.withColumnRenamed("node", "x")
-        links = checkpointed(links.join(keep.withColumnRenamed("x", "src"), ["pid", "src"], "left_semi").join(keep.withColumnRenamed("x", "dst"), ["pid", "dst"], "left_semi").select("pid", "src", "dst"))
+        links, some = written_counting(_among(links, ends.join(members, ["pid", "node"], "left_anti")), n=_rows())
+    own = nodes.select("pid", "node").distinct()
+    if done is None:
+        return own.withColumn("component", F.col("node"))
+    return own.join(done, ["pid", "node"], "left").select("pid", "node", F.coalesce("component", "node").alias("component"))
 
 
-def _spread_plain(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """As ``_spread`` along directed edges, without shortcuts, so that a label stays one of a node that reaches it."""
-    changed = True
-    while changed:
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The least label that reaches each node along edges, none but its own counted as a shortcut. labels: pid, node, label."""
+    while True:
         offers = edges.join(labels.select("pid", F.col("node").alias("src"), F.col("label").alias("offer")), ["pid", "src"]).groupBy("pid", F.col("dst").alias("node")).agg(F.min("offer").alias("offer"))
-        nxt = checkpointed(labels.join(offers, ["pid", "node"], "left").select("pid", "node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("moved")))
-        changed = not nxt.where("moved").isEmpty()
-        labels = nxt.drop("moved")
-    return labels
+        new = labels.join(offers, ["pid", "node"], "left").select("pid", "node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("moved"))
+        labels, seen = written_counting(new, n=F.count_if("moved"))
+        labels = labels.drop("moved")
+        if not seen["n"]:
+            return labels
 
 
 def cycles(components: DataFrame, edges: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def s224_link_targets(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT path FROM nodes WHERE path IS NOT NULL), up AS (SELECT path, path AS part FROM p UNION ALL SELECT path, regexp_extract(part, '^(.*)/[^/]*$', 1) FROM up WHERE contains(part, '/')),
-v AS (SELECT path, CASE WHEN part = 'src/build' THEN false WHEN regexp_matches(part, '^public/(.*/)?[^/]*\.min\.[^/]*$') THEN false WHEN regexp_matches(part, '(^|/)[^/]*\.min\.[^/]*$') THEN true WHEN part <> path AND regexp_matches(part, '(^|/)generated$') THEN true ELSE regexp_matches(part, '(^|/)build$') END AS out FROM up)
+v AS (SELECT path, CASE WHEN part = 'src/build' THEN false WHEN regexp_matches(part, '^public/(.*/)?[^/]*\\.min\\.[^/]*$') THEN false WHEN regexp_matches(part, '(^|/)[^/]*\\.min\\.[^/]*$') THEN true WHEN part <> path AND regexp_matches(part, '(^|/)generated$') THEN true ELSE regexp_matches(part, '(^|/)build$') END AS out FROM up)
 SELECT path, bool_or(out) AS ignored FROM v GROUP BY 1""")
 def s007_gitignore(spark: SparkSession, root: str) -> DataFrame:
     """Paths that an ignore file leaves out: build and generated folders and minified files, those below public/ and src/build excepted."""

@@ -151,7 +151,7 @@ _SQL_LANG = (
 
 
 @query(f"""WITH {NODES} SELECT pid, path, CASE WHEN ends_with(lower(path), '.gen.rs') THEN 'generated-rust' ELSE {_SQL_LANG} END AS detected, CASE WHEN ends_with(lower(path), '.gen.rs') THEN 'override' WHEN {_SQL_BASE} IN ({', '.join(f"'{k}'" for k in BY_NAME)}) THEN 'filename'
-  WHEN regexp_extract(lower(path), '(\.[^./]+\.[^./]+)$', 1) IN ({', '.join(f"'{k}'" for k in BY_COMPOUND)}) THEN 'compound' WHEN {_SQL_LANG} IS NOT NULL THEN 'extension' END AS reason FROM node WHERE kind = 'file'""")
+  WHEN regexp_extract(lower(path), '(\\.[^./]+\\.[^./]+)$', 1) IN ({', '.join(f"'{k}'" for k in BY_COMPOUND)}) THEN 'compound' WHEN {_SQL_LANG} IS NOT NULL THEN 'extension' END AS reason FROM node WHERE kind = 'file'""")
 def s008_language(spark: SparkSession, root: str) -> DataFrame:
     """Language of each file with the reason."""
     language, reason = detect_language(c("path"), {".gen.rs": "generated-rust"})
