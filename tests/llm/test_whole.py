@@ -77,3 +77,29 @@ def test_body_closed_over_many_open_brackets():
     s = Fn.Source("javascript", text)
     assert s.match[s.tok.index("{")] == s.tok.index("}")
     assert [f[1] for f in Fn.functions("javascript", text)] == ["f"]
+
+
+def test_documentation_is_not_inherited_from_classes_of_other_languages_or_of_unclear_names(spark):
+    cols = "id int, project string, language string, file string, symbol_name string, symbol_parent string, parents array<string>, doc string, documented boolean, inherits boolean"
+    doc = "Runs the job until it is done."
+    rows = [
+        (1, "p", "java", "A.java", "run", "Base", [], doc, True, False), (2, "p", "python", "b.py", "run", "Sub", ["Base"], "", False, True),  # Base exists in Java only
+        (3, "p", "java", "C.java", "run", "Own", ["Base"], "", False, True),  # the only Base of the language
+        (4, "p", "python", "d.py", "go", "Twice", [], doc, True, False), (5, "p", "python", "e.py", "go", "Twice", [], doc + " e", True, False), (6, "p", "python", "f.py", "go", "G", ["Twice"], "", False, True),  # two files declare Twice
+        (7, "p", "python", "e.py", "go", "H", ["Twice"], "", False, True),  # the same file's Twice
+    ]
+    got = {r.id: r.inherited_doc for r in Fn.resolve_inherited(spark.createDataFrame(rows, cols)).collect() if r.inherited_doc}
+    assert got == {3: doc, 7: doc + " e"}
+    full = {r.id: r.origin for r in Fn.with_documentation(spark.createDataFrame(rows, cols)).collect()}
+    assert full == {1: 1, 3: 1, 4: 4, 5: 5, 7: 5}
+
+
+def test_pairs_are_judged_by_the_join_alone(spark):
+    from treeline.llm.syntax import invalid_texts, token_facts
+
+    rows = [(b"a", "a.py", "x = = 1\n"), (b"b", "b.py", "x = 1\n"), (b"c", "c.json", "[1 2]")]
+    files = spark.createDataFrame(rows, "fk binary, path string, content string")
+    facts = {(r.fk[0:1], r.check) for r in token_facts(files).collect()}
+    assert {(b"a", "pair"), (b"b", "pair"), (b"c", "pair")} <= {(bytes(k), c) for k, c in facts}
+    got = {(bytes(r.fk), r.reason) for r in invalid_texts(files).collect()}
+    assert {(b"a", "pair"), (b"c", "pair")} <= got and not any(k == b"b" for k, _ in got)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from treeline.llm.automata import BREAK
 from treeline.llm.common import current_nodes, extension, query, texts
 from treeline.llm.lexers import EXTENSIONS, grammar, traced
-from treeline.sources.tables import checkpointed
+from treeline.sources.tables import written, written_counting
 
 LANGUAGES = {"python", "javascript", "typescript", "rust", "go", "java"}
 MIN_WORDS, MIN_NEW_WORDS = 5, 3
@@ -490,7 +490,7 @@ def functions(language: str, text: str) -> list[tuple]:
     return out
 
 
-_SCHEMA = "fk binary, line_no int, symbol_name string, symbol_kind string, symbol_signature string, symbol_parent string, parents array<string>, doc string, documented boolean, inherits boolean"
+_SCHEMA = "fk binary, language string, line_no int, symbol_name string, symbol_kind string, symbol_signature string, symbol_parent string, parents array<string>, doc string, documented boolean, inherits boolean"
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -506,57 +506,102 @@ def extract(files: DataFrame) -> DataFrame:
             for fk, path, text in zip(b["fk"], b["path"], b["content"], strict=True):
                 language = EXTENSIONS.get(path[path.rfind(".") :].lower())
                 if language in LANGUAGES and text:
-                    rows += [(fk, *f) for f in functions(language, text)]
+                    rows += [(fk, language, *f) for f in functions(language, text)]
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     known = [x for x, language in EXTENSIONS.items() if language in LANGUAGES]
     return files.where(extension().isin(known)).mapInPandas(scan, _SCHEMA)
 
 
+def resolve_bases(found: DataFrame) -> DataFrame:
+    """(project, language, file, class, base_file, base): the classes that the parents named by a class stand for.
+
+    A name means a class of the same file, else the only class of that name in the repository's files of the language; a name
+    that several files declare is not resolved.
+    """
+    own = found.where("symbol_parent <> ''")
+    owners = own.select("project", "language", "file", F.col("symbol_parent").alias("class")).distinct()
+    named = own.select("project", "language", "file", F.col("symbol_parent").alias("class"), F.explode("parents").alias("base")).distinct()
+    local = owners.withColumnRenamed("class", "base").withColumn("local", F.lit(True))
+    single = owners.groupBy("project", "language", F.col("class").alias("base")).agg(F.count(F.lit(1)).alias("_n"), F.min("file").alias("only")).where("_n = 1").drop("_n")
+    met = named.join(local, ["project", "language", "file", "base"], "left").join(single, ["project", "language", "base"], "left")
+    met = met.withColumn("base_file", F.when(F.col("local"), F.col("file")).otherwise(F.col("only")))
+    return met.where("base_file IS NOT NULL").select("project", "language", "file", "class", "base_file", "base")
+
+
+def overridden(found: DataFrame) -> DataFrame:
+    """(id, origin): for methods that inherit their documentation, the id of the nearest documented method they override.
+
+    Round by round, pending methods look for a documented method of the same name in the classes one level up; those not met move
+    on, each to a class only once, until none is left. Of several on one level the least id wins. Only keys are moved, no texts.
+    """
+    key = ["project", "language", "file", "class"]
+    edges = written(resolve_bases(found))
+    docs = found.where("documented AND symbol_parent <> ''").groupBy("project", "language", "file", F.col("symbol_parent").alias("class"), "symbol_name").agg(F.min("id").alias("origin"))
+    up = edges.select(*key, F.struct(F.col("base_file").alias("file"), F.col("base").alias("class")).alias("b"))
+
+    def climb(df: DataFrame) -> DataFrame:
+        return df.join(up, key).select("id", "project", "language", "symbol_name", "b.*").distinct()
+
+    pending, some = written_counting(climb(found.where("inherits AND NOT documented AND symbol_parent <> ''").select("id", "project", "language", "file", F.col("symbol_parent").alias("class"), "symbol_name")), n=F.count(F.lit(1)))
+    answers = found.select("id", F.lit(0).alias("level"), F.col("id").alias("origin")).limit(0)
+    visited = None
+    for level in count(1):
+        if not some["n"]:
+            break
+        met = written(pending.join(docs, [*key, "symbol_name"], "left"))
+        hit = met.where("origin IS NOT NULL").select("id", F.lit(level).alias("level"), "origin")
+        answers = hit if level == 1 else answers.unionByName(hit)
+        here = met.select("id", "file", "class")
+        visited = here if visited is None else visited.unionByName(here)
+        if level % MERGE == 0:
+            answers, visited = written(answers), written(visited)
+        left = met.drop("origin").join(hit.select("id"), "id", "left_anti")
+        pending, some = written_counting(climb(left).join(visited, ["id", "file", "class"], "left_anti"), n=F.count(F.lit(1)))
+    return answers.groupBy("id").agg(F.min(F.struct("level", "origin")).alias("b")).select("id", "b.origin")
+
+
 def resolve_inherited(found: DataFrame) -> DataFrame:
     """Adds ``inherited_doc`` to methods that inherit: the nearest overridden method's documentation.
 
-    found: project, symbol_name, symbol_parent, parents, doc, documented, inherits, id. Round by round, pending
-    methods look for a documented method of the same name in a parent class of the repository; those not met
-    move on to the grandparents, each to a class only once, until none is left. Names are matched within a repository; of several candidates the least text wins.
+    found: project, symbol_name, symbol_parent, parents, doc, documented, inherits, id, and language and file where there are
+    several; without them all classes count as one file's. Names are matched within a repository and a language.
     """
-    docs = found.where("documented AND symbol_parent <> ''").groupBy("project", F.col("symbol_parent").alias("class"), "symbol_name").agg(F.min("doc").alias("inherited_doc"))
-    bases = found.where("symbol_parent <> ''").select("project", F.col("symbol_parent").alias("class"), F.explode("parents").alias("base")).distinct()
-    pending = found.where("inherits AND NOT documented").select("id", "project", "symbol_name", F.explode("parents").alias("class")).distinct()
-    answers = visited = None
-    for level in count():
-        met = pending.join(docs, ["project", "class", "symbol_name"], "left")
-        met = checkpointed(met)
-        hit = met.where("inherited_doc IS NOT NULL").select("id", F.lit(level).alias("level"), "inherited_doc")
-        answers = hit if answers is None else answers.unionByName(hit)
-        here = met.select("id", "class")
-        visited = here if visited is None else visited.unionByName(here)
-        if level % MERGE == MERGE - 1:
-            answers, visited = checkpointed(answers), checkpointed(visited)
-        left = met.where("inherited_doc IS NULL").drop("inherited_doc").join(hit.select("id"), "id", "left_anti")
-        pending = left.join(bases, ["project", "class"]).select("id", "project", "symbol_name", F.col("base").alias("class")).distinct().join(visited, ["id", "class"], "left_anti")
-        if pending.isEmpty():
-            break
-    best = answers.groupBy("id").agg(F.min(F.struct("level", "inherited_doc")).alias("b")).select("id", "b.inherited_doc")
-    return found.join(best, "id", "left")
+    whole = found
+    for extra in ("language", "file"):
+        if extra not in found.columns:
+            whole = whole.withColumn(extra, F.lit(""))
+    from_ = overridden(whole)
+    docs = found.select(F.col("id").alias("origin"), F.col("doc").alias("inherited_doc"))
+    return found.join(from_.join(docs, "origin").drop("origin"), "id", "left")
+
+
+def _located(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """Functions of current files, written once: id (node_id, line_no, symbol_name), project, language, file and the named columns."""
+    nodes = current_nodes(spark, root, "project_instance_id").select("fk", "node_id", F.lower("project_instance_id").alias("project"))
+    named = extract(texts(spark, root)).select("fk", "line_no", "symbol_name", "language", "symbol_parent", "parents", "documented", "inherits", *columns)
+    named = named.join(nodes, "fk").withColumnRenamed("fk", "file").withColumn("id", F.struct("node_id", "line_no", "symbol_name"))
+    return written(named.drop("line_no", "node_id").dropDuplicates(["id"]))
 
 
-def _located(spark: SparkSession, root: str) -> DataFrame:
-    nodes = current_nodes(spark, root, "project_instance_id", "language").drop("path")
-    return extract(texts(spark, root)).join(nodes, "fk")
+def with_documentation(found: DataFrame) -> DataFrame:
+    """Adds ``origin``, the id of the function whose documentation counts: its own if it has some, else the one it overrides; functions without any are dropped."""
+    own = found.where("documented").withColumn("origin", F.col("id"))
+    return own.unionByName(found.where("NOT documented").join(overridden(found), "id").select(*found.columns, "origin"))
 
 
 @query()
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    """Functions of current files whose own documentation is more than trivial."""
-    own = extract(texts(spark, root)).where("documented").select("fk", "line_no", "symbol_name")
-    return own.join(current_nodes(spark, root), "fk").select("node_id", "line_no", "symbol_name").distinct()
+    """Functions of current files whose documentation is more than trivial and stands with them, not with one they override."""
+    full = with_documentation(_located(spark, root))
+    return full.where("origin = id").select("id.node_id", "id.line_no", "id.symbol_name").distinct()
 
 
 @query()
 def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Signature and documentation of every function that has some, its own or inherited."""
-    named = _located(spark, root).withColumn("project", F.lower("project_instance_id")).withColumn("id", F.xxhash64("node_id", "line_no", "symbol_name"))
-    named = checkpointed(named.dropDuplicates(["id"]))
-    full = resolve_inherited(named).withColumn("description", F.when(F.col("documented"), F.col("doc")).otherwise(F.col("inherited_doc")))
-    return full.where("description IS NOT NULL").select("node_id", "line_no", "symbol_name", "symbol_kind", "symbol_parent", "symbol_signature", "description", (~F.col("documented")).alias("inherited"))
+    found = _located(spark, root, "symbol_kind", "symbol_signature", "doc")
+    full = with_documentation(found.drop("doc", "symbol_signature", "symbol_kind"))
+    taken = full.where("origin <> id").select("id", "origin").join(found.select(F.col("id").alias("origin"), "doc"), "origin").select("id", F.col("doc").alias("inherited_doc"))
+    every = found.join(taken, "id", "left").withColumn("description", F.when(F.col("documented"), F.col("doc")).otherwise(F.col("inherited_doc"))).where("description IS NOT NULL")
+    return every.select("id.*", "symbol_kind", "symbol_parent", "symbol_signature", "description", (~F.col("documented")).alias("inherited"))

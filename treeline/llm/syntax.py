@@ -49,7 +49,10 @@ def _strictly_valid(language: str, text: str) -> bool:
 
 
 def judge(language: str, text: str) -> tuple[str | None, list[int]]:
-    """Reason (lexical, nesting or production) or None, and the distinct pairs of neighbours, of one text."""
+    """What a text's tokens say: the reason nesting or productions fail (lexical, nesting, production) or None, and its distinct pairs of neighbours.
+
+    Whether the pairs are permissible is left to the join. Where there is a reference parser, a reason it does not share is dropped.
+    """
     g = grammar(language)
     seq = tokens(language, text)
     if seq and seq[-1] == BAD:
@@ -60,8 +63,8 @@ def judge(language: str, text: str) -> tuple[str | None, list[int]]:
         # Token trees of macros hold anything; neighbours in them say nothing.
         trees = "macro_rules" in ids and ids["!"] in seq
         pairs = [] if trees else [a << SHIFT | b for a, b in set(zip((t & 0xFFF for t in seq), seq[1:], strict=False)) if b <= 0xFFF]
-    if (reason or not permissible(language).issuperset(pairs)) and _strictly_valid(language, text):
-        return None, []
+    if reason and _strictly_valid(language, text):
+        reason = None
     return reason, pairs
 
 
@@ -76,15 +79,14 @@ def permissible(language: str) -> frozenset[int]:
 
 
 def pair_table(spark: SparkSession) -> DataFrame:
-    """(language, pair) of all grammars; its size is fixed by the grammars."""
-    return spark.createDataFrame(pd.DataFrame([(x, p) for x in LANGUAGES for p in sorted(permissible(x))], columns=["language", "pair"]), "language string, pair int")
+    """(language, check, value): the permissible pairs of all grammars; their number is fixed by the grammars."""
+    return spark.createDataFrame(pd.DataFrame([(x, "pair", p) for x in LANGUAGES for p in sorted(permissible(x))], columns=["language", "check", "value"]), "language string, check string, value int")
 
 
-def invalid_texts(files: DataFrame) -> DataFrame:
-    """(fk, path, content) -> (fk, language, reason) of the texts that are invalid, reasons: lexical, nesting, production, pair.
+def token_facts(files: DataFrame) -> DataFrame:
+    """(fk, path, content) -> (fk, language, check, value), what lexing and reduction tell of each file.
 
-    Files of other languages are left out. An empty text is invalid only where the language demands something
-    (JSON, Go). Null texts give no row; very long texts are read whole; repeated rows give repeated rows.
+    check 'pair': a pair of neighbouring tokens that occurs in it; 'lexical', 'nesting' or 'production': this check failed, value null.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,14 +98,25 @@ def invalid_texts(files: DataFrame) -> DataFrame:
                 if language:
                     reason, pairs = judge(language, text)
                     if reason or pairs:
-                        rows.append((fk, language, reason, [*pairs, 0] if reason else pairs))
+                        rows.append((fk, language, reason, pairs))
             yield pd.DataFrame(rows, columns=["fk", "language", "reason", "pairs"], dtype=object)
 
     known = files.where(extension().isin(list(EXTENSIONS)))
     lexed = known.mapInPandas(scan, "fk binary, language string, reason string, pairs array<int>")
-    pairs = lexed.select("fk", "language", "reason", F.explode("pairs").alias("pair"))
-    bad = pairs.join(F.broadcast(pair_table(files.sparkSession)), ["language", "pair"], "left_anti")
-    return bad.select("fk", "language", F.coalesce("reason", F.lit("pair")).alias("reason")).distinct()
+    fact = lambda check, value: F.struct(check.alias("check"), value.alias("value"))
+    failed = F.when(F.col("reason").isNotNull(), F.array(fact(F.col("reason"), F.lit(None).cast("int")))).otherwise(F.array())
+    return lexed.select("fk", "language", F.explode(F.concat(F.transform("pairs", lambda p: fact(F.lit("pair"), p)), failed)).alias("f")).select("fk", "language", "f.*")
+
+
+def invalid_texts(files: DataFrame) -> DataFrame:
+    """(fk, path, content) -> (fk, language, reason) of the texts that are invalid, reasons: lexical, nesting, production, pair.
+
+    All facts but permissible pairs tell against a file; the anti-join leaves them. Files of other languages are left out. An
+    empty text is invalid only where the language demands something (JSON, Go). Null texts give no row; very long texts are read
+    whole; repeated rows give repeated rows.
+    """
+    bad = token_facts(files).join(F.broadcast(pair_table(files.sparkSession)), ["language", "check", "value"], "left_anti")
+    return bad.select("fk", "language", F.col("check").alias("reason")).distinct()
 
 
 @query()
