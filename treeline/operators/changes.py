@@ -36,6 +36,15 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
 
+def replace_paths(table: DataFrame, rows: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` with all its rows of the changed keys taken out and ``rows`` of those keys put in.
+
+    A changed key without rows is cleared; rows of keys not named as changed are not taken.
+    """
+    kept = table.join(changed.select(*keys).distinct(), keys, "left_anti")
+    return kept.unionByName(rows.join(changed.select(*keys).distinct(), keys, "left_semi").select(*table.columns))
+
+
 def replace_scan(table: DataFrame, scan: DataFrame, keys: list[str], authored: list[str]) -> DataFrame:
     """A new scan over the last one: seen rows take its values and keep authored columns, unseen rows stay, marked gone."""
     facts = [c for c in scan.columns if c not in keys]

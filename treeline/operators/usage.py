@@ -66,12 +66,47 @@ def session_accounting(events: DataFrame, by: list[str]) -> DataFrame:
     return state.groupBy(*by).agg(F.sum("w").alias("baseline"), F.sum("s").alias("spent"), F.sum(F.col("w") - F.col("s")).alias("saved"), F.sum(F.col("n") - 1).alias("repeats"), F.sum("n").alias("calls"))
 
 
+def _runs(events: DataFrame, gap: int) -> DataFrame:
+    """(owner, _b, started): the run of events that each piece of time of one owner belongs to.
+
+    Pieces are as long as the gap, so no pause inside one ends a run; only first and last times of pieces are compared, and a busy
+    owner is spread over its pieces.
+    """
+    piece = events.groupBy("owner", F.floor(F.col("at") / gap).alias("_b")).agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    w = W.partitionBy("owner").orderBy("_b")
+    new = F.coalesce(F.col("_first") - F.lag("_last").over(w) >= gap, F.lit(True))
+    return piece.withColumn("started", F.last(F.when(new, F.col("_first")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).select("owner", "_b", "started")
+
+
+def with_instance(events: DataFrame, gap: int = IDLE) -> DataFrame:
+    """Adds ``started``, the first time of the run of events (owner, at) an event belongs to."""
+    return events.withColumn("_b", F.floor(F.col("at") / gap)).join(_runs(events, gap), ["owner", "_b"]).drop("_b")
+
+
 def instances(events: DataFrame, gap: int = IDLE) -> DataFrame:
     """(owner, started, last_seen, events) of each run of events with no pause of ``gap`` seconds or more."""
-    w = W.partitionBy("owner").orderBy("at", "event_id")
-    new = F.coalesce((F.col("at") - F.lag("at").over(w) >= gap).cast("int"), F.lit(1))
-    runs = events.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    return runs.groupBy("owner", "_run").agg(F.min("at").alias("started"), F.max("at").alias("last_seen"), F.count(F.lit(1)).alias("events")).drop("_run")
+    piece = events.groupBy("owner", F.floor(F.col("at") / gap).alias("_b")).agg(F.max("at").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    return piece.join(_runs(events, gap), ["owner", "_b"]).groupBy("owner", "started").agg(F.max("_last").alias("last_seen"), F.sum("_n").alias("events"))
+
+
+def exact_median(rows: DataFrame, keys: list[str], value: str, buckets: int = 1024) -> DataFrame:
+    """(keys, median): midpoint of the two middle values of each group; nulls don't count, a group of nulls has none.
+
+    Equal values are first counted, then the group is cut into ranges of equal width and only the ranges that hold a middle value
+    are put in order, so a group of a third of all rows is no task of its own.
+    """
+    v = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    span = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    cut = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
+    v = v.join(span, keys).withColumn("_b", cut)
+    per = v.groupBy(*keys, "_b").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
+    upto = F.sum("_in").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1  # ranks of the middle values, from 1
+    per = per.withColumn("_end", upto).withColumn("_before", F.col("_end") - F.col("_in")).where((low > F.col("_before")) & (low <= F.col("_end")) | (high > F.col("_before")) & (high <= F.col("_end")))
+    inside = F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    mid = v.join(per.select(*keys, "_b", "_before"), [*keys, "_b"]).withColumn("_to", F.col("_before") + inside).withColumn("_from", F.col("_to") - F.col("_n"))
+    at = lambda r: F.max(F.when((r > F.col("_from")) & (r <= F.col("_to")), F.col("_v")))
+    return mid.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def prune_plan(rows: DataFrame, now: int, max_age: int, max_rows: int, max_bytes: int) -> DataFrame:
@@ -94,3 +129,16 @@ def bounded_dimensions(events: DataFrame, owner: str, dim: str, kind: str, limit
     nth = F.row_number().over(W.partitionBy(owner).orderBy("_f", dim))
     names = first.select(owner, dim, kind, F.when(nth <= limit, F.col(dim)).otherwise(F.concat(F.lit("<overflow>:"), F.col(kind))).alias("dimension"))
     return events.join(names, [owner, dim, kind])
+
+
+def greatest_before(rows: DataFrame, part: str, order: str, value: str, piece: int = 4096) -> DataFrame:
+    """Adds ``before``, the greatest value of the rows of a partition that come before, null for the first.
+
+    Found within pieces of the order and, from one row a piece, over them, so that a large partition is spread.
+    """
+    b = F.floor(F.col(order) / piece)
+    over = W.partitionBy(part).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy(part, b.alias("_b")).agg(F.max(value).alias("_m")).select(part, "_b", F.max("_m").over(over).alias("_c"))
+    inside = W.partitionBy(part, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    own = rows.withColumn("_b", b).withColumn("_o", F.max(value).over(inside)).join(carried, [part, "_b"])
+    return own.withColumn("before", F.greatest("_o", "_c")).drop("_b", "_o", "_c")

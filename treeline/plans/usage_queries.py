@@ -140,9 +140,9 @@ SELECT *, (baseline - candidate) / baseline * 100 AS saving FROM g""")
 def s148_medians(spark: SparkSession, root: str) -> DataFrame:
     """Median and maximum of both arms per workload, and the saving."""
     m = table(spark, root, "lineitem", "l_suppkey", "l_linestatus", "l_extendedprice").select((c("l_suppkey") % 10).alias("workload"), c("l_linestatus").alias("arm"), c("l_extendedprice").alias("metric"))
-    of = lambda f, a: f(F.when(c("arm") == a, c("metric")))
-    g = m.groupBy("workload").agg(of(F.median, "F").alias("baseline"), of(F.median, "O").alias("candidate"), of(F.max, "F").alias("baseline_max"), of(F.max, "O").alias("candidate_max"))
-    return g.withColumn("saving", saving(c("baseline"), c("candidate")))
+    most = m.groupBy("workload").agg(*(F.max(F.when(c("arm") == a, c("metric"))).alias(f"{n}_max") for a, n in (("F", "baseline"), ("O", "candidate"))))
+    mid = U.exact_median(m, ["workload", "arm"], "metric").groupBy("workload").agg(*(F.max(F.when(c("arm") == a, c("median"))).alias(n) for a, n in (("F", "baseline"), ("O", "candidate"))))
+    return most.join(mid, "workload").withColumn("saving", saving(c("baseline"), c("candidate")))
 
 
 @query("""WITH g AS (SELECT l_suppkey % 10 AS workload, sum(l_tax) FILTER (l_linestatus = 'O') - sum(l_tax) FILTER (l_linestatus = 'F') AS setup, sum(l_discount) FILTER (l_linestatus = 'F') / count(*) - sum(l_discount) FILTER (l_linestatus = 'O') / count(*) AS warm FROM lineitem GROUP BY 1)
