@@ -12,19 +12,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.llm.common import query
-from treeline.sources.tables import checkpointed, table
+from treeline.sources.tables import table, written
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 UNIT = 1 << 24
 BUCKETS = 1024
+MOST_NAMED = 10_000  # listed sources up to which their names are handed to the scan
 
 
-def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds ``tokens``, the length of ``text`` under a public byte-level BPE; null counts 0.
+def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keep_text: bool = True) -> DataFrame:
+    """Adds ``tokens``, the length of ``text`` under a public byte-level BPE; null counts 0. Without ``keep_text`` the text goes no further.
 
     Words repeat, so each worker keeps the lengths of pre-token pieces it has met.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+    names = [f.name for f in kept]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
@@ -34,7 +37,7 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("mix", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
-            yield b.assign(tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in b[text]]).astype({"tokens": "int64"})
+            yield b[names].assign(tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in b[text]]).astype({"tokens": "int64"})
 
     return docs.mapInPandas(count, fields + ", tokens bigint")
 
@@ -89,10 +92,15 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     """
     goals = usable_targets(targets)
     docs = documents.select("doc_id", "text", "source").where("doc_id IS NOT NULL AND length(text) > 0")
-    owned = docs.join(goals.select("source"), "source", "left_semi").withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    owner = owned.groupBy("digest").agg(F.min(F.struct("source", "doc_id")).alias("o")).select("o.*").distinct()
-    unit_texts = owned.select("doc_id", "source", "text").join(owner, ["source", "doc_id"], "left_semi").dropDuplicates(["source", "doc_id"])
-    sized = checkpointed(count_tokens(unit_texts, vocabulary=vocabulary).select("source", F.col("doc_id").alias("id"), "tokens"))
+    names = [r["source"] for r in goals.select("source").limit(MOST_NAMED + 1).collect()]
+    if len(names) <= MOST_NAMED:  # a filter at the scan spares counting what the join below would drop
+        docs = docs.where(F.col("source").isin(names))
+    # Tokens are counted and texts digested behind the scan; only (source, id, digest, tokens) is moved.
+    digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+    narrow = count_tokens(docs.withColumn("digest", digest), vocabulary=vocabulary, keep_text=False).join(goals.select("source"), "source", "left_semi")
+    owner = narrow.groupBy("digest").agg(F.min(F.struct("source", "doc_id", "tokens")).alias("o")).select("o.*")
+    # A doc_id may stand for several texts of a source; it is one unit, of its greatest length.
+    sized = written(owner.groupBy("source", F.col("doc_id").alias("id")).agg(F.max("tokens").alias("tokens")))
     rates = expected_copies(sized, goals, total)
     used = systematic_copies(sized, rates, seed).select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most"))
