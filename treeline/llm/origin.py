@@ -103,7 +103,7 @@ def notice_reason(lead: str, auto) -> str | None:
 
 _NUMBER_OR_STRING = re.compile(r"""0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""")
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
-DATA_SHARE, DATA_VALUES = 0.6, 24
+DATA_SHARE, DATA_VALUES, DATA_LETTERS, LONG_LITERAL = 0.6, 24, 200, 60
 PACKED_LINE, PACKED_SPACES = 200, 0.08
 
 
@@ -112,42 +112,39 @@ _DIGITS = re.compile(r"\d+")
 SERIES, TEMPLATES = 10, 8
 
 
-def numbered(text: str) -> bool:
-    """Whether the text is one template written out for 0, 1, 2, ...: few distinct lines once digits are dropped."""
-    lines = [x for x in map(str.strip, text.split("\n")) if x]
-    if len(lines) < 2 * SERIES or len({_DIGITS.sub("", x) for x in lines[len(lines) // 4 :]}) > TEMPLATES:
+def numbered(body: str) -> bool:
+    """Whether a text is one template written out for 0, 1, 2, ...: few distinct lines once digits are dropped."""
+    if len({_DIGITS.sub("", x) for x in map(str.strip, body.split("\n")) if x}) > TEMPLATES:
         return False
-    return {str(i) for i in range(SERIES)} <= set(_ENDING.findall(text))
+    return {str(i) for i in range(SERIES)} <= set(_ENDING.findall(body))
 
 
 def shape_reason(ext: str, text: str) -> str | None:
-    """'data' if array literals make up the file, 'minified' if code is packed into long lines, else None.
+    """'data' if array literals make up the file, 'minified' if code is packed into long lines, 'generated' if it is one template numbered through, else None.
 
-    Data: in a programming language, at least DATA_VALUES literals cover DATA_SHARE of the non-blank text, and
-    few names remain. Minified: script or style whose lines (leading comment aside) average PACKED_LINE
-    characters with under PACKED_SPACES white space.
+    The comment that opens the file is left aside. Data: in a programming language, literals cover DATA_SHARE of the non-blank
+    text, few names remain, and there are at least DATA_VALUES of them or DATA_LETTERS characters in them (a list or blob, not
+    a constant). Minified: script or style whose lines average PACKED_LINE characters with under PACKED_SPACES white space.
+    These are amounts of evidence; files of every size are judged by them alike.
     """
+    body = text[_LEAD.match(text).end() :].strip()
+    if not body:
+        return None
     if ext in _SOURCE:
-        body = text[_LEAD.match(text).end() :]
         solid = len(body) - body.count(" ") - body.count("\n") - body.count("\t")
-        if solid > 200:
-            n = covered = 0
-            for m in _NUMBER_OR_STRING.finditer(body):
-                n += 1
-                covered += m.end() - m.start() + 1
-            long = covered / max(n, 1) > 60
-            if (n >= DATA_VALUES or long) and covered >= DATA_SHARE * solid and len(_WORD.findall(_NUMBER_OR_STRING.sub("", body))) <= max(20, n // 8):
-                return "data"
-    if (ext in _SOURCE or ext == ".css") and numbered(text):
+        n = covered = 0
+        for m in _NUMBER_OR_STRING.finditer(body):
+            n += 1
+            covered += m.end() - m.start() + 1
+        long = covered >= DATA_LETTERS and covered / max(n, 1) > LONG_LITERAL
+        if (n >= DATA_VALUES or long) and covered >= DATA_SHARE * solid and len(_WORD.findall(_NUMBER_OR_STRING.sub("", body))) <= max(20, n // 8):
+            return "data"
+    if ext in _PACKABLE and len(body) / (body.count("\n") + 1) >= PACKED_LINE:
+        code = _NUMBER_OR_STRING.sub("0", body)
+        if sum(code.count(c) for c in " \n\t") <= PACKED_SPACES * max(len(code), 1):
+            return "minified"
+    if (ext in _SOURCE or ext == ".css") and numbered(body):
         return "generated"
-    if ext in _PACKABLE:
-        body = text[_LEAD.match(text).end() :].strip()
-        lines = body.count("\n") + 1
-        if len(body) > 300 and len(body) / lines >= PACKED_LINE:
-            code = _NUMBER_OR_STRING.sub("0", body)
-            blanks = sum(code.count(c) for c in " \n\t")
-            if blanks <= PACKED_SPACES * max(len(code), 1):
-                return "minified"
     return None
 
 
