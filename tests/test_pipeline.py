@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from treeline.operators.capture import LogCapture, capture_changes
 from treeline.operators.orphans import orphan_groups, orphan_rows
@@ -146,3 +147,22 @@ def test_log_capture_with_crashes_delivers_every_change_once(spark, tmp_path, se
         assert (part, key) not in last or last[part, key][1] != value
         last[part, key] = (version, value)
     assert {k: v[1] for k, v in last.items()} == {k: v[1] for k, v in state.items()}
+
+
+def test_snapshots_of_any_size_have_leaves_of_one_size(spark, monkeypatch):
+    """With leaves of two rows a few hundred keys make a deep tree; the result is that of the flat one."""
+    import treeline.operators.snapshot_diff as D
+
+    r = random.Random(5)
+    rows, keys = [], [f"k{i}" for i in range(700)]
+    state = {k: "1" for k in keys}
+    for snap in (1, 2, 3):
+        for k in r.sample(keys, 9):
+            state[k] = str(r.randrange(5)) if k in state and r.random() < 0.7 else state.pop(k, None) or "9"
+        rows += [(snap, k, v) for k, v in state.items()]
+    df = spark.createDataFrame(rows, "snapshot bigint, k string, v string")
+    meta = spark.createDataFrame([(s, "w", s, sum(x[0] == s for x in rows)) for s in (1, 2, 3)], "snapshot bigint, series string, seq bigint, row_count bigint")
+    flat = {tuple(x) for x in snapshot_changes(df, meta, "k", ["v"]).collect()}
+    monkeypatch.setattr(D, "ROWS_PER_LEAF", 2 ** -18)
+    assert spark.range(1).select(D.leaf_level(F.lit(700))).first()[0] == 4
+    assert {tuple(x) for x in snapshot_changes(df, meta, "k", ["v"]).collect()} == flat and flat

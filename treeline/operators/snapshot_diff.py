@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from treeline.sources.tables import written
 
 FANOUT_BITS = 8
-DEPTH = 2
+DEPTH = 7  # 56 bits of a key's hash; trees are only as deep as the largest snapshot of their series needs
 ROWS_PER_LEAF = 256
 
 
@@ -32,8 +32,7 @@ def leaf_level(rows: Column) -> Column:
 
 def _range_of(key_hash: str, level: str) -> Column:
     """Number of the hash range of a tree level that holds a 64-bit hash."""
-    top = F.shiftrightunsigned(key_hash, 64 - FANOUT_BITS * DEPTH)
-    return F.floor(top / F.pow(F.lit(2.0), (F.lit(DEPTH) - F.col(level)) * FANOUT_BITS)).cast("int")
+    return F.when(F.col(level) == 0, F.lit(0).cast("bigint")).otherwise(F.expr(f"shiftrightunsigned({key_hash}, 64 - {FANOUT_BITS} * {level})"))
 
 
 def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: list[str]) -> DataFrame:
@@ -50,6 +49,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: lis
     snaps = snaps.groupBy("snapshot").agg(F.max(F.struct("series", "seq", "row_count")).alias("m")).select("snapshot", "m.*")
     size = W.partitionBy("series")
     snaps = snaps.withColumn("level", leaf_level(F.max("row_count").over(size)))
+    deepest = snaps.agg(F.max("level")).first()[0] or 0
     slim = rows.select("snapshot", F.col(key).alias("k"), F.xxhash64(*map(_word, state)).alias("v")).dropna(subset=["snapshot", "k"])
     slim = slim.join(snaps.select("snapshot", "series", "level"), "snapshot").withColumn("h", F.xxhash64("k"))
     # Rows come together by (series, leaf) once and are kept that way: digests read few columns of the written
@@ -64,7 +64,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: lis
     # The tree in long form: each leaf adds to the node above it at every level.
     nodes = (
         leaves.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("level"))))
-        .withColumn("node", F.floor(F.col("leaf") / F.pow(F.lit(2.0), (F.col("level") - F.col("at")) * FANOUT_BITS)).cast("int"))
+        .withColumn("node", F.expr(f"shiftright(leaf, (level - at) * {FANOUT_BITS})"))
         .groupBy("series", "snapshot", "at", "node")
         .agg(F.first("level").alias("level"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
     )
@@ -89,8 +89,8 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, key: str, state: lis
     # Top-down: below the root a node counts only if its parent differs too.
     frontier = compared.where("at = 0")
     leaf_hits = frontier.where("level = 0")
-    for depth in range(1, DEPTH + 1):
-        below = compared.where(F.col("at") == depth).withColumn("parent", F.floor(F.col("node") / (1 << FANOUT_BITS)).cast("int"))
+    for depth in range(1, deepest + 1):
+        below = compared.where(F.col("at") == depth).withColumn("parent", F.shiftright("node", FANOUT_BITS))
         frontier = below.join(frontier.select("series", "later", F.col("node").alias("parent")), ["series", "later", "parent"], "left_semi").drop("parent")
         leaf_hits = leaf_hits.unionByName(frontier.where(F.col("level") == depth))
     # Written too, so that its size is known when the rows are joined: a small one is sent to them.
