@@ -95,11 +95,37 @@ def test_documentation_is_not_inherited_from_classes_of_other_languages_or_of_un
 
 
 def test_pairs_are_judged_by_the_join_alone(spark):
-    from treeline.llm.syntax import invalid_texts, token_facts
+    from treeline.llm.syntax import invalid_texts, lexed, token_facts
 
     rows = [(b"a", "a.py", "x = = 1\n"), (b"b", "b.py", "x = 1\n"), (b"c", "c.json", "[1 2]")]
     files = spark.createDataFrame(rows, "fk binary, path string, content string")
-    facts = {(r.fk[0:1], r.check) for r in token_facts(files).collect()}
-    assert {(b"a", "pair"), (b"b", "pair"), (b"c", "pair")} <= {(bytes(k), c) for k, c in facts}
+    facts = {(bytes(r.fk), r.check) for r in token_facts(lexed(files)).collect()}
+    assert {(b"a", "pair"), (b"b", "pair"), (b"c", "pair")} <= facts
     got = {(bytes(r.fk), r.reason) for r in invalid_texts(files).collect()}
     assert {(b"a", "pair"), (b"c", "pair")} <= got and not any(k == b"b" for k, _ in got)
+
+
+def test_nesting_is_judged_by_the_windows(spark):
+    from treeline.llm.syntax import lexed, nesting_faults
+
+    texts = ["f(a[1])", "f(a[1)]", "f(", ")(", "f(a))", "", "x = {a: [1, (2)]}", "f(`${g(1)}`)", "f(`${g(1]}`)", "(" * 400 + ")" * 400, "(" * 400 + ")" * 399]
+    files = spark.createDataFrame([(bytes([i]), f"{i}.js", t) for i, t in enumerate(texts)] + [(bytes([0]), "0.js", texts[0])], "fk binary, path string, content string")
+    got = {r.fk[0] for r in nesting_faults(lexed(files)).collect()}
+    assert got == {1, 2, 3, 4, 10}  # the eighth ends inside a template and is lexical
+
+
+@pytest.mark.parametrize("language", ["python", "javascript", "typescript", "rust", "go", "java", "json", "toml"])
+def test_the_windows_find_what_the_reduction_calls_nesting(spark, language):
+    """Random cuts of nested texts: wherever the reduction meets brackets that don't match, the windows do too."""
+    import random
+
+    from treeline.llm.lexers import EXTENSIONS
+    from treeline.llm.syntax import lexed, nesting_faults, read
+
+    r = random.Random(3)
+    ext = next(x for x, y in EXTENSIONS.items() if y == language)
+    texts = ["".join(r.choice("()[]{}a,;:?=1\n ") for _ in range(r.randrange(1, 30))) for _ in range(150)]
+    reasons = [read(language, t)[0] for t in texts]
+    files = spark.createDataFrame([(i.to_bytes(2), f"a{ext}", t) for i, t in enumerate(texts)], "fk binary, path string, content string")
+    got = {int.from_bytes(x.fk) for x in nesting_faults(lexed(files)).collect()}
+    assert {i for i, x in enumerate(reasons) if x == "nesting"} <= got

@@ -296,7 +296,7 @@ class Grammar:
     # ------------------------------------------------------------- texts
 
     def check(self, tokens: list[int]) -> str | None:
-        """None if the tokens form a text of the language, else 'nesting' or 'production'."""
+        """None if the tokens form a text of the language, else 'nesting' (brackets that don't match) or 'production'."""
         if len(self.states) > MAX_STATES:
             self._forget()
         moves, opens, closes, colon, begin = self.moves, self.opens, self.closes, self.colon, self.begin
@@ -320,7 +320,7 @@ class Grammar:
                 b = inside
             if b:
                 if b != inside or not stack:
-                    return "nesting"
+                    return "production" if inside in "QL" else "nesting"
                 label = self.accept(state)
                 state, inside = stack.pop()
                 nxt = moves[state].get((b, label))
@@ -328,7 +328,7 @@ class Grammar:
                 continue
             state = self.move(state, t)
         if stack:
-            return "nesting"
+            return "nesting" if any(x not in "QL" for x in (inside, *(y for _, y in stack[1:]))) else "production"
         return None if "file" in self.label_kinds[self.accept(state)] else "production"
 
     def _before_group(self, state: int, bracket: str) -> int:

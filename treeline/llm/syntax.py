@@ -1,9 +1,9 @@
 """Source files that are not valid in the language their extension stands for.
 
-A text becomes token classes; pairs of neighbours that no text of the grammar has are found by an
-anti-join with the pairs derived from the grammar; nesting and productions are checked by reducing
-bracketed windows from the inside out. What is found in Python, JSON or TOML must also be refused by the
-reference parser of the standard library.
+A text becomes token classes. Pairs of neighbours that no text of the grammar has are found by an
+anti-join with the pairs derived from the grammar; brackets that do not match by windows over bracket rows; productions by
+reducing the windows between brackets from the inside out. A production that fails in Python, JSON or TOML must also be refused by
+the reference parser of the standard library.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.llm.common import current_nodes, extension, query, texts
 from treeline.llm.lexers import BAD, EXTENSIONS, grammar, tokens
+from treeline.sources.tables import written
 
 SHIFT = 12  # a pair is one number: left << SHIFT | right
 LANGUAGES = sorted(set(EXTENSIONS.values()))
@@ -48,24 +50,44 @@ def _strictly_valid(language: str, text: str) -> bool:
         return False
 
 
-def judge(language: str, text: str) -> tuple[str | None, list[int]]:
-    """What a text's tokens say: the reason nesting or productions fail (lexical, nesting, production) or None, and its distinct pairs of neighbours.
+# Brackets that nest in every language that has them: opening and closing token.
+BRACKETS = [("(", ")"), ("[", "]"), ("{", "}"), ("${", "}$"), ("INDENT", "DEDENT")]
+_CODES: dict[str, dict[int, int]] = {}
 
-    Whether the pairs are permissible is left to the join. Where there is a reference parser, a reason it does not share is dropped.
-    """
+
+def bracket_codes(language: str) -> dict[int, int]:
+    """Token class -> 2 * kind of bracket, + 1 for the closing one."""
+    if language not in _CODES:
+        ids = grammar(language).ids
+        _CODES[language] = {ids[t]: 2 * k + side for k, pair in enumerate(BRACKETS) for side, t in enumerate(pair) if t in ids}
+    return _CODES[language]
+
+
+def read(language: str, text: str) -> tuple[str | None, list[int], list[int]]:
+    """Reason (see ``judge``), distinct pairs of neighbours, and the brackets in their order, of one text."""
     g = grammar(language)
     seq = tokens(language, text)
     if seq and seq[-1] == BAD:
-        reason, pairs = "lexical", []
+        reason, pairs, brackets = "lexical", [], []
     else:
         reason = g.check(seq)
         ids = g.ids
         # Token trees of macros hold anything; neighbours in them say nothing.
         trees = "macro_rules" in ids and ids["!"] in seq
         pairs = [] if trees else [a << SHIFT | b for a, b in set(zip((t & 0xFFF for t in seq), seq[1:], strict=False)) if b <= 0xFFF]
+        code = bracket_codes(language).get
+        brackets = [k for t in seq if (k := code(t & 0xFFF)) is not None]
     if reason and _strictly_valid(language, text):
         reason = None
-    return reason, pairs
+    return reason, pairs, brackets
+
+
+def judge(language: str, text: str) -> tuple[str | None, list[int]]:
+    """What a text's tokens say: the reason nesting or productions fail (lexical, nesting, production) or None, and its distinct pairs of neighbours.
+
+    Whether the pairs are permissible is left to the join, and nesting, for tables, to the windows. Where there is a reference parser, a reason it does not share is dropped.
+    """
+    return read(language, text)[:2]
 
 
 _PERMISSIBLE: dict[str, frozenset[int]] = {}
@@ -83,10 +105,13 @@ def pair_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame([(x, "pair", p) for x in LANGUAGES for p in sorted(permissible(x))], columns=["language", "check", "value"]), "language string, check string, value int")
 
 
-def token_facts(files: DataFrame) -> DataFrame:
-    """(fk, path, content) -> (fk, language, check, value), what lexing and reduction tell of each file.
+_LEXED = "fk binary, language string, reason string, pairs array<int>, brackets array<tinyint>"
+
+
+def lexed(files: DataFrame) -> DataFrame:
+    """(fk, path, content) -> (fk, language, reason, pairs, brackets): one row per text of a language that is judged.
 
-    check 'pair': a pair of neighbouring tokens that occurs in it; 'lexical', 'nesting' or 'production': this check failed, value null.
+    Productions are checked by reducing the windows between brackets from the inside out, in the Arrow batch that lexed the text.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,27 +121,51 @@ def token_facts(files: DataFrame) -> DataFrame:
             for fk, path, text in zip(b["fk"], b["path"], b["content"], strict=True):
                 language = EXTENSIONS.get(path[path.rfind(".") :].lower())
                 if language:
-                    reason, pairs = judge(language, text)
-                    if reason or pairs:
-                        rows.append((fk, language, reason, pairs))
-            yield pd.DataFrame(rows, columns=["fk", "language", "reason", "pairs"], dtype=object)
+                    rows.append((fk, language, *read(language, text)))
+            yield pd.DataFrame(rows, columns=["fk", "language", "reason", "pairs", "brackets"], dtype=object)
+
+    return files.where(extension().isin(list(EXTENSIONS))).mapInPandas(scan, _LEXED)
+
+
+def nesting_faults(brackets: DataFrame) -> DataFrame:
+    """(fk, language) of the texts whose brackets do not match. brackets: fk, language, brackets.
 
-    known = files.where(extension().isin(list(EXTENSIONS)))
-    lexed = known.mapInPandas(scan, "fk binary, language string, reason string, pairs array<int>")
+    The depth at a bracket is a running sum; it must not fall below zero and must end there. Brackets of one depth alternate, so a closing
+    one's partner is the one before it at its depth, and must be of its kind. Equal texts give equal faults, so rows of one key count once.
+    """
+    code = F.col("code").cast("int")
+    opens = code % 2 == 0
+    rows = brackets.dropDuplicates(["fk"]).select("fk", "language", F.posexplode("brackets").alias("i", "code"))
+    w = W.partitionBy("fk").orderBy("i")
+    rows = rows.withColumn("d", F.sum(F.when(opens, 1).otherwise(-1)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("before", F.lag(code).over(W.partitionBy("fk", F.when(opens, F.col("d")).otherwise(F.col("d") + 1)).orderBy("i")))
+    wrong = (F.col("d") < 0) | (~opens & ~F.col("before").eqNullSafe(code - 1))
+    per = rows.groupBy("fk", "language").agg(F.bool_or(wrong).alias("wrong"), F.sum(F.when(opens, 1).otherwise(-1)).alias("left"))
+    return per.where("wrong OR left <> 0").select("fk", "language")
+
+
+def token_facts(read_: DataFrame) -> DataFrame:
+    """Rows of ``lexed`` as (fk, language, check, value).
+
+    check 'pair': a pair of neighbouring tokens that occurs in the text; 'lexical' or 'production': this check failed, value null.
+    """
     fact = lambda check, value: F.struct(check.alias("check"), value.alias("value"))
-    failed = F.when(F.col("reason").isNotNull(), F.array(fact(F.col("reason"), F.lit(None).cast("int")))).otherwise(F.array())
-    return lexed.select("fk", "language", F.explode(F.concat(F.transform("pairs", lambda p: fact(F.lit("pair"), p)), failed)).alias("f")).select("fk", "language", "f.*")
+    failed = F.when(F.col("reason") != "nesting", F.array(fact(F.col("reason"), F.lit(None).cast("int")))).otherwise(F.array())
+    return read_.select("fk", "language", F.explode(F.concat(F.transform("pairs", lambda p: fact(F.lit("pair"), p)), failed)).alias("f")).select("fk", "language", "f.*")
 
 
 def invalid_texts(files: DataFrame) -> DataFrame:
     """(fk, path, content) -> (fk, language, reason) of the texts that are invalid, reasons: lexical, nesting, production, pair.
 
-    All facts but permissible pairs tell against a file; the anti-join leaves them. Files of other languages are left out. An
-    empty text is invalid only where the language demands something (JSON, Go). Null texts give no row; very long texts are read
-    whole; repeated rows give repeated rows.
+    All facts but permissible pairs tell against a file; the anti-join leaves them. Nesting is told by windows over the brackets. Files of
+    other languages are left out. An empty text is invalid only where the language demands something (JSON, Go). Null texts give no row;
+    very long texts are read whole; repeated rows give repeated rows.
     """
-    bad = token_facts(files).join(F.broadcast(pair_table(files.sparkSession)), ["language", "check", "value"], "left_anti")
-    return bad.select("fk", "language", F.col("check").alias("reason")).distinct()
+    # Lexing is most of the work: its compact rows are written once and read for each check.
+    read_ = written(lexed(files))
+    bad = token_facts(read_).join(F.broadcast(pair_table(files.sparkSession)), ["language", "check", "value"], "left_anti")
+    bad = bad.select("fk", "language", F.col("check").alias("reason")).distinct()
+    return bad.unionByName(nesting_faults(read_).withColumn("reason", F.lit("nesting")))
 
 
 @query()
