@@ -25,7 +25,8 @@ def ignore_rules(lines: list[str]) -> list[tuple[bool, bool, str]]:
         rule = rule[1:] if negated else rule.removeprefix("\\")
         folder_only, rule = rule.endswith("/"), rule.rstrip("/")
         anchored = "/" in rule
-        out.append((not negated, folder_only, P.glob_regex(rule.lstrip("/") if anchored else "**/" + rule)))
+        rx = "^" + P.glob_regex("/" + rule.lstrip("/"))[2:] if anchored else P.glob_regex("**/" + rule)
+        out.append((not negated, folder_only, rx))
     return out
 
 
