@@ -207,3 +207,25 @@ def test_trigrams_lose_nothing(spark):
 
 def test_valid_keys_of_odd_paths(spark):
     assert column(spark, ["", ".", "a\\b"], P.valid_key) == [False, True, True]
+
+
+def test_overfull_batches_ask_for_a_full_scan(spark):
+    import datetime as dt
+
+    from treeline.streaming.usage import change_sets
+
+    day = dt.datetime(2025, 1, 1)
+    ev = spark.createDataFrame([(day, "p", f"f{i}", "write") for i in range(4)] + [(day, "q", "g", "write")], "ts timestamp, project string, path string, action string")
+    assert sorted((r.project, r.paths, r.full_scan) for r in change_sets(ev, queue=3).collect()) == [("p", [], True), ("q", ["g"], False)]
+
+
+def test_hydration_and_revalidation(spark, tmp_path):
+    from treeline.operators.changes import Generations
+
+    t = {"a": spark.createDataFrame([("x", 1)], "k string, v int")}
+    E.export_tables(t, str(tmp_path / "e"), "s")
+    assert E.hydrate(spark, str(tmp_path / "e"), str(tmp_path / "g"), "s") == 1
+    g = Generations(spark, str(tmp_path / "g"))
+    with pytest.raises(RuntimeError):
+        g.publish(t, still_true=lambda: False)
+    assert g.active() == 1 and g.read("a").count() == 1 and g.publish(t, still_true=lambda: True) == 2

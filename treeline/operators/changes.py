@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,13 +74,20 @@ class Generations:
             return 0
         return int(json.loads(self.spark.read.text(str(at)).first()[0])["generation"])
 
-    def publish(self, tables: dict[str, DataFrame], expect: int | None = None) -> int:
-        """Write all tables as the next version and make it visible; refuses if another was published meanwhile."""
+    def publish(self, tables: dict[str, DataFrame], expect: int | None = None, still_true: Callable[[], bool] | None = None) -> int:
+        """Write all tables as the next version and make it visible; refuses if another was published meanwhile.
+
+        ``still_true`` is asked when everything is written, just before it becomes visible: whether the sources are those the
+        tables were made from. If not, the version is dropped.
+        """
         base = self.active() if expect is None else expect
         n = base + 1
         folder = f"{self.root}/gen={n}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{folder}/{name}")
+        if still_true is not None and not still_true():
+            self._fs.delete(self._path(folder), True)
+            raise RuntimeError("the sources changed while the generation was written")
         if self.active() != base:
             self._fs.delete(self._path(folder), True)
             raise RuntimeError("another generation was published meanwhile")

@@ -206,3 +206,53 @@ def s276_revalidated(spark: SparkSession, root: str) -> DataFrame:
     one = t.groupBy("snapshot_id").agg(F.max(F.struct(hex_key("project_instance_id").alias("pid"), "registration_id", c("source_generation").alias("generation"), hex_key("source_state_digest").alias("digest"))).alias("s")).select("snapshot_id", "s.*")
     w = W.partitionBy("pid", "registration_id")  # the snapshots of one worktree, a row each
     return one.select("snapshot_id", "pid", "registration_id", "generation", (c("generation") == F.max("generation").over(w)).alias("current"), (c("digest") == F.lag("digest").over(w.orderBy("generation", "snapshot_id"))).alias("unchanged"))
+
+
+# ---------------------------------------------------------------- findings brought together
+
+
+from treeline.plans import graph_queries as Q  # noqa: E402
+from treeline.plans.registry import ORACLES  # noqa: E402
+
+_FINDINGS = f"""fnd AS (SELECT pid, 'dead_code' AS kind, node, '' AS detail FROM ({ORACLES["s268_dead_code"]}) UNION ALL SELECT pid, 'gap', node, kind || ':' || ref FROM ({ORACLES["s263_gaps"]}) WHERE node IS NOT NULL UNION ALL SELECT pid, 'hub', hub, kind FROM ({ORACLES["s135_hubs"]}))"""
+
+
+def findings(spark: SparkSession, root: str) -> DataFrame:
+    """(pid, kind, node, detail): unused symbols, references without target, and hubs, in one table."""
+    dead = Q.s268_dead_code(spark, root).select("pid", F.lit("dead_code").alias("kind"), "node", F.lit("").alias("detail"))
+    gaps = Q.s263_gaps(spark, root).where("node IS NOT NULL").select("pid", F.lit("gap").alias("kind"), "node", F.concat_ws(":", "kind", "ref").alias("detail"))
+    hubs = Q.s135_hubs(spark, root).select("pid", F.lit("hub").alias("kind"), c("hub").alias("node"), c("kind").alias("detail"))
+    return dead.unionByName(gaps).unionByName(hubs)
+
+
+@query(f"WITH {_FINDINGS} SELECT pid, kind, count(*) AS findings FROM fnd GROUP BY 1, 2")
+def s272_findings(spark: SparkSession, root: str) -> DataFrame:
+    """Findings of an analysis by kind."""
+    return findings(spark, root).groupBy("pid", "kind").agg(ONE("findings"))
+
+
+@query(f"WITH {_FINDINGS}, o AS (SELECT DISTINCT pid, kind, node, detail FROM fnd), r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY kind, node, detail) - 1 AS position FROM o), t AS (SELECT pid, count(*) total FROM o GROUP BY 1) SELECT pid, kind, node, detail, position::INT AS position, total FROM r JOIN t USING (pid) WHERE position BETWEEN 10 AND 19")
+def s273_finding_page(spark: SparkSession, root: str) -> DataFrame:
+    """Findings 10 to 19 of each repository with their number."""
+    f = findings(spark, root).distinct()
+    w = W.partitionBy("pid").orderBy("kind", "node", "detail")
+    top = f.withColumn("n", F.row_number().over(w)).where("n <= 20").where("n > 10").withColumn("position", c("n") - 1).drop("n")
+    return top.join(f.groupBy("pid").agg(ONE("total")), "pid")
+
+
+@query(f"WITH {NODES}, {TEXTS}, k AS (SELECT node.pid, node.path, txt.content_hash IS NOT DISTINCT FROM node.content_hash AS same, size_bytes, txt.path IS NULL AS untexted FROM node LEFT JOIN txt USING (pid, path) WHERE kind = 'file' AND exists_now) SELECT pid, path, CASE WHEN untexted THEN 'no_text' WHEN same THEN 'unchanged' WHEN size_bytes > 1048576 THEN 'too_large' ELSE 'parse' END AS job FROM k")
+def s301_parse_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """Which files have to be parsed again: not those whose hash is the indexed one, too large ones, or those without text."""
+    t = latest_states(spark, root).select("pid", "path", c("content_hash").alias("h"), F.lit(True).alias("texted"))
+    k = nodes(spark, root).where("kind = 'file' AND exists_now").join(t, ["pid", "path"], "left")
+    job = F.when(c("texted").isNull(), "no_text").when(c("content_hash").eqNullSafe(c("h")), "unchanged").when(c("size_bytes") > 1 << 20, "too_large").otherwise("parse")
+    return k.select("pid", "path", job.alias("job"))
+
+
+@query(f"WITH {NODES}, w AS (SELECT lower(project_instance_id) pid, scope_path path, bool_or(state IN ('failed', 'quarantined', 'oversized')) failed, bool_or(state IN ('partial', 'stale')) partial FROM graph_coverage WHERE relation_kind IS NULL GROUP BY 1, 2) SELECT node.pid, node.path, CASE WHEN w.path IS NULL THEN 'unparsed' WHEN failed THEN 'failed' WHEN partial THEN 'partial' ELSE 'parsed' END AS status FROM node LEFT JOIN w USING (pid, path) WHERE kind = 'file'")
+def s241_summary_status(spark: SparkSession, root: str) -> DataFrame:
+    """Status of each file's summary by what is known of its parsing: the worst record counts, none means unparsed."""
+    g = table(spark, root, "graph_coverage", "project_instance_id", "scope_path", "relation_kind", "state").where("relation_kind IS NULL")
+    w = g.groupBy(hex_key("project_instance_id").alias("pid"), c("scope_path").alias("path")).agg(F.bool_or(c("state").isin("failed", "quarantined", "oversized")).alias("failed"), F.bool_or(c("state").isin("partial", "stale")).alias("partial"))
+    n = nodes(spark, root).where("kind = 'file'").join(w, ["pid", "path"], "left")
+    return n.select("pid", "path", F.when(c("failed").isNull(), "unparsed").when(c("failed"), "failed").when(c("partial"), "partial").otherwise("parsed").alias("status"))

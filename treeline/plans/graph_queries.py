@@ -200,12 +200,12 @@ def s107_called_by(spark: SparkSession, root: str) -> DataFrame:
     return s.join(r, ["pid", "name"]).select("pid", "name", "callee", "caller")
 
 
-@query(f"WITH {ENTITIES} SELECT external_system, external_identity, count(DISTINCT pid) AS projects, string_agg(DISTINCT pid, ',' ORDER BY pid) AS members FROM ent WHERE kind = 'external' AND external_identity IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT pid) >= 2")
+@query(f"WITH {ENTITIES}, x AS (SELECT DISTINCT external_system, external_identity, pid FROM ent WHERE kind = 'external' AND external_identity IS NOT NULL), n AS (SELECT external_system, external_identity, count(*) AS projects FROM x GROUP BY 1, 2 HAVING count(*) >= 2) SELECT x.external_system, x.external_identity, projects, pid FROM x JOIN n ON x.external_system = n.external_system AND x.external_identity = n.external_identity")
 def s111_rendezvous(spark: SparkSession, root: str) -> DataFrame:
-    """External things that several repositories refer to."""
+    """External things that several repositories refer to: one row per member, with the number of members."""
     e = entities(spark, root).where("kind = 'external' AND external_identity IS NOT NULL").select("external_system", "external_identity", "pid").distinct()
-    g = e.groupBy("external_system", "external_identity").agg(F.count(F.lit(1)).alias("projects"), F.array_sort(F.collect_set("pid")).alias("m")).where("projects >= 2")
-    return g.select("external_system", "external_identity", "projects", F.array_join("m", ",").alias("members"))
+    n = e.groupBy("external_system", "external_identity").agg(F.count(F.lit(1)).alias("projects")).where("projects >= 2")
+    return e.join(n, ["external_system", "external_identity"]).select("external_system", "external_identity", "projects", "pid")
 
 
 @query(f"WITH {ENTITIES} SELECT pid, path, count(*) FILTER (kind = 'symbol') AS symbols, count(DISTINCT name) FILTER (kind = 'symbol') AS names, count(*) FILTER (symbol_kind = 'method') AS methods FROM ent WHERE path IS NOT NULL GROUP BY 1, 2")

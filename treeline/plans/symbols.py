@@ -9,6 +9,7 @@ from treeline.functions import facts as X
 from treeline.operators import symbols as S
 from treeline.plans.index_tables import from_latest_texts
 from treeline.plans.registry import query
+from treeline.sources.tables import spread
 
 c = F.col
 
@@ -17,7 +18,7 @@ def graphs(spark: SparkSession, root: str) -> DataFrame:
     """One row per file: what is declared, used and imported. Texts are read once behind the scan."""
     from treeline.plans.index_tables import _stored, _version, latest_states
 
-    rows = S.symbol_graphs(_stored(spark, root, "content").select("pid", "path", _version(), "content"), ["pid", "path", "_k"])
+    rows = S.symbol_graphs(spread(_stored(spark, root, "content").select("pid", "path", _version(), "content"), "_k"), ["pid", "path", "_k"])
     return rows.join(latest_states(spark, root).select("_k"), "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
 
 

@@ -56,6 +56,13 @@ def import_tables(spark: SparkSession, folder: str, source_state: str | None = N
     return out
 
 
+def hydrate(spark: SparkSession, folder: str, root: str, source_state: str) -> int:
+    """Make an export the next generation of a work tree's index, if it was made from the same source state; its number."""
+    from treeline.operators.changes import Generations
+
+    return Generations(spark, root).publish(import_tables(spark, folder, source_state))
+
+
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, partitions: int = 8) -> DataFrame:
     """Rows of a SQLite table, read in ranges of rowid by as many tasks; the file must be in reach of all of them.
 

@@ -78,3 +78,13 @@ def tree_path(col: Column | str) -> Column:
 def month_no(col: Column | str) -> Column:
     """Calendar months since year 0, so that months compare as integers."""
     return F.year(col) * 12 + F.month(col) - 1
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys if its scan has no more pieces than half the cores; unchanged otherwise.
+
+    For the texts that Python reads token by token: one small file that can't be split would keep a single core busy. Where there is
+    a piece for most cores, as with any large table, nothing is moved. The rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
