@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from treeline.llm.automata import BREAK
 from treeline.llm.common import current_nodes, extension, query, texts
 from treeline.llm.lexers import EXTENSIONS, grammar, traced
-from treeline.sources.tables import written, written_counting
+from treeline.sources.tables import spread, written, written_counting
 
 LANGUAGES = {"python", "javascript", "typescript", "rust", "go", "java"}
 MIN_WORDS, MIN_NEW_WORDS = 5, 3
@@ -510,7 +510,7 @@ def extract(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     known = [x for x, language in EXTENSIONS.items() if language in LANGUAGES]
-    return files.where(extension().isin(known)).mapInPandas(scan, _SCHEMA)
+    return spread(files.where(extension().isin(known)), "fk").mapInPandas(scan, _SCHEMA)
 
 
 def resolve_bases(found: DataFrame) -> DataFrame:

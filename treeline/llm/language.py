@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm.common import query
-from treeline.sources.tables import table
+from treeline.sources.tables import spread, table
 
 FAMILIES = {"germanic": ["en", "de", "nl"], "romance": ["fr", "es", "pt", "it"], "slavic": ["pl", "ru"], "japonic": ["ja"]}
 LANGUAGES = [x for f in FAMILIES.values() for x in f]
@@ -384,7 +384,7 @@ def label_documents(documents: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "seg_no", "lang", "confidence", "words", "label_state"], dtype=object)
 
     docs = documents.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND length(text) > 0")
-    return docs.mapInPandas(label, "doc_id bigint, seg_no int, lang string, confidence double, words bigint, label_state string")
+    return spread(docs, "doc_id").mapInPandas(label, "doc_id bigint, seg_no int, lang string, confidence double, words bigint, label_state string")
 
 
 def _segments(spark: SparkSession, root: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm.common import query
 from treeline.llm.fmindex import FMIndex
-from treeline.sources.tables import table
+from treeline.sources.tables import spread, table
 
 PHRASE = 13
 SHARD_SYMBOLS = 1_000_000
@@ -134,7 +134,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, length: int = PHRASE) -
                     yield found()
 
         docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-        part = docs.mapInPandas(search, "doc_id bigint, item_id bigint, first_word bigint, last_word bigint")
+        part = spread(docs).mapInPandas(search, "doc_id bigint, item_id bigint, first_word bigint, last_word bigint")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, first_word bigint, last_word bigint")
@@ -153,7 +153,11 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaked_spans(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text")).select("doc_id", "item_id").distinct()
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} w FROM documents), e AS (SELECT item_id, {_WORDS_SQL} w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, i, array_to_string(w[i:i+12], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM d WHERE len(w) >= 13)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+12], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) i FROM e WHERE len(w) >= 13)),
+hit AS (SELECT DISTINCT doc_id, item_id, i - 1 AS f, i + 11 AS l FROM dg JOIN eg USING (g)), o AS (SELECT *, coalesce(max(l) OVER (PARTITION BY doc_id ORDER BY f, l, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -2) + 1 < f AS fresh FROM hit),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY f, l, item_id ROWS UNBOUNDED PRECEDING) run FROM o) SELECT doc_id, min(f) AS first_word, max(l) AS last_word, count(DISTINCT item_id) AS items FROM r GROUP BY doc_id, run""")
 def p7_removals(spark: SparkSession, root: str) -> DataFrame:
     """Per document, the word spans to remove: its spans of all items, merged where they touch."""
     spans = leaked_spans(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text"))

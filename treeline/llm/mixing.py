@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.llm.common import query
-from treeline.sources.tables import table, written
+from treeline.sources.tables import spread, table, written
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 UNIT = 1 << 24
@@ -39,7 +39,7 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
         for b in batches:
             yield b[names].assign(tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in b[text]]).astype({"tokens": "int64"})
 
-    return docs.mapInPandas(count, fields + ", tokens bigint")
+    return spread(docs).mapInPandas(count, fields + ", tokens bigint")
 
 
 def usable_targets(targets: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm.common import current_nodes, query, texts
+from treeline.sources.tables import spread
 
 # Phrases that notices use, by what they say. "+" joins phrases that must all occur.
 GENERATED_NOTICES = [
@@ -169,7 +170,7 @@ def text_reasons(files: DataFrame) -> DataFrame:
                     why.append(reason)
             yield pd.DataFrame({"fk": keys, "text_reason": why}, dtype=object)
 
-    return files.mapInPandas(scan, "fk binary, text_reason string")
+    return spread(files, "fk").mapInPandas(scan, "fk binary, text_reason string")
 
 
 def foreign_files(nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm.common import current_nodes, extension, query, texts
 from treeline.llm.lexers import BAD, EXTENSIONS, grammar, tokens
-from treeline.sources.tables import written
+from treeline.sources.tables import spread, written
 
 SHIFT = 12  # a pair is one number: left << SHIFT | right
 LANGUAGES = sorted(set(EXTENSIONS.values()))
@@ -124,7 +124,7 @@ def lexed(files: DataFrame) -> DataFrame:
                     rows.append((fk, language, *read(language, text)))
             yield pd.DataFrame(rows, columns=["fk", "language", "reason", "pairs", "brackets"], dtype=object)
 
-    return files.where(extension().isin(list(EXTENSIONS))).mapInPandas(scan, _LEXED)
+    return spread(files.where(extension().isin(list(EXTENSIONS))), "fk").mapInPandas(scan, _LEXED)
 
 
 def nesting_faults(brackets: DataFrame) -> DataFrame:
