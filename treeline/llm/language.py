@@ -7,6 +7,7 @@ so a blank-free token's scores under all of them are computed once per worker an
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -132,18 +133,19 @@ def natural_words(paragraph: str) -> list[str]:
     return found if good else []
 
 
-def word_features(word: str) -> list[int]:
+@functools.lru_cache(CACHE_TOKENS)
+def word_features(word: str) -> tuple[int, ...]:
     """Hashed n-grams of a word with its edges, and the word itself."""
     w = f"^{word}$"
     out = [zlib.crc32(("=" + word).encode()) % DIM]
     for n in NGRAMS:
         out += [zlib.crc32(w[i : i + n].encode()) % DIM for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1]
-    return out
+    return tuple(out)
 
 
 def bag(words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and their shares."""
-    idx, n = np.unique([f for w in words_ for f in word_features(w)], return_counts=True)
+    idx, n = np.unique(np.fromiter(itertools.chain.from_iterable(map(word_features, words_)), np.int64), return_counts=True)
     return idx, n / n.sum() * 10.0
 
 
