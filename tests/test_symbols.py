@@ -77,3 +77,58 @@ def test_stored_entities_are_found_in_the_texts(spark):
     got = s280_symbols(spark, root).where("kind <> 'impl'").select("pid", "path", "name", "parent").distinct()
     missing = want.join(got, (want.pid == got.pid) & (want.path == got.path) & (want.name == got.name) & want.symbol_parent.eqNullSafe(got.parent), "left_anti").count()
     assert missing <= 0.05 * want.count()
+
+
+def test_scripts_inside_pages():
+    page = "<template><a>f(1)</a></template>\n<script lang=\"ts\">\nimport q from 'q'\nexport function f(x: number) {\n  g(x)\n}\n</script>\n<style>a{b:c}</style>\n"
+    kind, symbols, relations, imports = S.read_source("vue", page)
+    assert kind == "embedded" and [(s.name, s.first, s.last) for s in symbols] == [("f", 4, 6)] and ("f", "calls", "g", 5) in relations and imports == [("q", "default", "q", 3)]
+    assert [s.name for s in S.read_source("astro", "---\nfunction h() { }\n---\n<p/>")[1]] == ["h"] and S.read_source("html", "<p>x</p>")[1:] == ([], [], [])
+
+
+def test_a_tree_is_staged_and_published_as_one_version(spark, tmp_path):
+    from treeline.operators.changes import Generations
+    from treeline.sources.files import ignore_rules, map_lines, stage
+
+    src = tmp_path / "src"
+    (src / "pkg").mkdir(parents=True)
+    (src / "pkg/a.py").write_text('"""Opens files."""\nimport os\n\ndef run():\n    os.getcwd()\n')
+    (src / "README.md").write_text("# Title\n")
+    (src / "x.bin").write_bytes(b"\xff\x00")
+    (src / "pkg/b.log").write_text("x")
+    tables = stage(spark, str(src), rules=ignore_rules(["*.log"]))
+    g = Generations(spark, str(tmp_path / "index"))
+    assert g.publish(tables) == 1
+    nodes = {r.path: (r.kind, r.language, r.content_class) for r in g.read("nodes").collect()}
+    assert nodes == {".": ("folder", None, None), "pkg": ("folder", None, None), "pkg/a.py": ("file", "python", "source"), "README.md": ("file", "markdown", "documentation"), "x.bin": ("file", None, "opaque")}
+    assert [(r.path, r.name) for r in g.read("symbols").collect()] == [("pkg/a.py", "run")] and {(r.kind, r.target) for r in g.read("relations").collect()} == {("calls", "os.getcwd"), ("imports", "os")}
+    assert {(r.path, r.summary, r.documentation) for r in g.read("summaries").collect()} == {("README.md", "Markdown document with 1 headings: Title", None), ("pkg/a.py", None, "Opens files.")}
+    assert {r.line for r in map_lines(g.read("nodes").where("kind = 'folder'"), ["kind", "language"]).collect()} == {'{"path":".","kind":"folder"}', '{"path":"pkg","kind":"folder"}'}
+
+
+def test_watched_files_and_artifacts(spark, tmp_path):
+    from treeline.sources.files import read_artifacts, watch
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"name": "x", "value": 2}')
+    (tmp_path / "in/b.json").write_text("[")
+    (tmp_path / "in/c.json").write_text('{"name": "' + "y" * 100 + '"}')
+    got = {r.path.rsplit("/", 1)[-1]: (r.outcome, r.name, r.value) for r in read_artifacts(spark, str(tmp_path / "in"), "name string, value int", limit=60).collect()}
+    assert got == {"a.json": ("read", "x", 2), "b.json": ("not_json", None, None), "c.json": ("too_large", None, None)}
+    q = watch(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("watched").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert {r.path for r in spark.table("watched").collect()} == {"a.json", "b.json", "c.json"}
+
+
+def test_calibration(spark):
+    import os
+
+    from treeline.operators.usage import calibration
+
+    file = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(file):
+        pytest.skip("no vocabulary here")
+    t = spark.createDataFrame([("hello world",), ("",), (None,)], "content string")
+    r = calibration(t, file, r"\s+|\S+").first()
+    assert (r.texts, r.byte_tokens) == (2, 3) and r.tokens > 0 and r.ratio == 3 / r.tokens
+    assert calibration(t.limit(0), file, r"\S+").first().ratio is None

@@ -21,6 +21,18 @@ DECLARATIONS = [
     ("function", r"^(?:pub(?:\([a-z]+\))?\s+|export\s+|default\s+|async\s+|const\s+|unsafe\s+)*(?:fn|function|func|def)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)"),
     ("module", r"^(?:pub\s+)?(?:mod|module|namespace|package)\s+([A-Za-z_][\w.]*)"),
 ]
+# Patterns of texts without a parser, tried in order on a trimmed line: (kind, detail, pattern with the name as group 1).
+FALLBACK = [
+    ("function", "fallback-python-function", r"^(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)"),
+    ("class", "fallback-class", r"^class\s+([A-Za-z_][A-Za-z0-9_]*)"),
+    ("function", "fallback-powershell-function", r"^function\s+([A-Za-z_][A-Za-z0-9_]*(?:-[A-Za-z_][A-Za-z0-9_]*)+)\b"),
+    ("function", "fallback-js-function", r"^(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
+    ("value", "fallback-composition-binding", r"^(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:withDefaults\s*\(\s*)?(?:defineProps|defineEmits|defineModel|defineSlots|computed|ref|shallowRef|reactive|toRef|toRefs|watch)\b"),
+    ("function", "fallback-rust-function", r"^(?:pub\s+)?fn\s+([A-Za-z_][A-Za-z0-9_]*)"),
+    ("type", "fallback-rust-type", r"^(?:pub\s+)?(?:struct|enum|trait)\s+([A-Za-z_][A-Za-z0-9_]*)"),
+    ("function", "fallback-function", r"^(?:func|fun)\s+([A-Za-z_][A-Za-z0-9_]*)"),
+    ("method", "fallback-c-family-method", r"^(?:public|private|protected|internal|static|\s)+\s*[A-Za-z0-9_<>,\[\]?]+\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("),
+]
 IMPORT = r"^(?:import|from|use|require|include|#include|using)\b"
 
 
@@ -34,6 +46,15 @@ def declarations(texts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, (F.col("_i") + 1).alias("line_no"), kind.alias("kind"), name.alias("name")).where("kind IS NOT NULL")
 
 
+def fallback_symbols(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line_no, kind, detail, name) of the lines that a fallback pattern fits, by the first that does."""
+    rows = texts.select(*keys, F.posexplode(T.lines(F.col("content"))).alias("_i", "_l")).withColumn("_l", F.btrim("_l", F.lit(" \t")))
+    found = F.lit(None).cast("struct<kind:string,detail:string,name:string>")
+    for kind, detail, rx in reversed(FALLBACK):
+        found = F.when(F.col("_l").rlike(rx), F.struct(F.lit(kind).alias("kind"), F.lit(detail).alias("detail"), F.regexp_extract("_l", rx, 1).alias("name"))).otherwise(found)
+    return rows.select(*keys, (F.col("_i") + 1).alias("line_no"), found.alias("f")).where("f IS NOT NULL").select(*keys, "line_no", "f.*")
+
+
 def imports(texts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line_no, text) of import-like lines."""
     rows = texts.select(*keys, F.posexplode(T.lines(F.col("content"))).alias("_i", "_l"))

@@ -269,6 +269,28 @@ def manifest(language: str, text: str) -> tuple[list[Symbol], list[tuple[str, st
     return symbols, uses
 
 
+_SCRIPT = re.compile(r"<script\b([^>]*)>([\s\S]*?)(?:</script\s*>|\Z)|\A---\n([\s\S]*?)\n---", re.I)
+HOSTS = {"vue", "svelte", "astro", "html"}
+
+
+def embedded(language: str, text: str) -> tuple[list[Symbol], list[tuple], list[tuple]]:
+    """Symbols, relations and imports of the scripts inside a page or component, with the lines of the whole text."""
+    symbols, relations, imports = [], [], []
+    for m in _SCRIPT.finditer(text):
+        body, at = (m[2], m.start(2)) if m[2] is not None else (m[3], m.start(3))
+        if m[3] is not None and language != "astro":
+            continue
+        inner = "typescript" if m[3] is not None or re.search(r"lang=[\"']?tsx?", m[1] or "") else "javascript"
+        _, s, r, i = read_source(inner, body)
+        down = text.count("\n", 0, at)
+        for x in s:
+            x.first, x.last = x.first + down, x.last + down
+        symbols += s
+        relations += [(a, b, c, n + down) for a, b, c, n in r]
+        imports += [(a, b, c, n + down) for a, b, c, n in i]
+    return symbols, relations, imports
+
+
 def read_source(language: str, text: str) -> tuple[str, list[Symbol], list[tuple[str | None, str, str, int]], list[tuple]]:
     """(parser, symbols, relations (source, kind, target, line), imports) of one text; parser is tree, manifest, pattern or none."""
     if language in ("cargo-manifest", "cargo-lock") or (language in ("toml", "json") and '"dependencies"' in text):
@@ -287,6 +309,8 @@ def read_source(language: str, text: str) -> tuple[str, list[Symbol], list[tuple
             found = [Symbol(m[2], "class" if m[1] == "class" else "function", None, text.count("\n", 0, m.start()) + 1, text.count("\n", 0, m.start()) + 1, m[0].strip()) for m in re.finditer(r"^[ \t]*(class|def)[ \t]+(\w+)[^\n:]*", text, re.M)]
             imports = parse_imports("python", text)
             return "pattern", found, [(None, "imports", f"{m}.{i}" if i else m, n) for m, i, _, n in imports], imports
+    if language in HOSTS:
+        return "embedded", *embedded(language, text)
     if language not in BRACES:
         return "none", [], [], []
     code = blanked(text, language)
@@ -331,7 +355,7 @@ def symbol_graphs(files: DataFrame, keys: list[str]) -> DataFrame:
             rows = []
             for key, path, text in zip(b[keys].itertuples(index=False, name=None), b["path"], b["content"], strict=True):
                 language = language_of(path)
-                if language is None or (language not in BRACES and language not in ("python", "cargo-manifest", "cargo-lock", "toml", "json")):
+                if language is None or language not in BRACES | HOSTS | {"python", "cargo-manifest", "cargo-lock", "toml", "json"}:
                     continue
                 parser, symbols, relations, imports = read_source(language, text)
                 rows.append((*key, language, parser, [dict(zip(named, (s.name, s.kind, s.parent, s.first, s.last, s.signature), strict=True)) for s in symbols], [dict(zip(("source", "kind", "target", "line"), r, strict=True)) for r in relations], [dict(zip(("module", "imported", "local", "line"), i, strict=True)) for i in imports]))

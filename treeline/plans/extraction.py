@@ -76,3 +76,12 @@ def s004_folders(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "documents", "path").where("path IS NOT NULL").distinct().select("path", P.parent(c("path")).alias("folder"))
     n = d.groupBy("folder").agg(F.count(F.lit(1)).alias("siblings"))
     return d.join(n, "folder").select("path", "folder", "siblings")
+
+
+@query(
+    f"WITH {_LINE}, k AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(t, '{_sql_rx(r)}') THEN {i}" for i, (_, _, r) in enumerate(X.FALLBACK)) + " END AS k FROM line) SELECT pid, path, line_no, CASE k " + " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _, _) in enumerate(X.FALLBACK))
+    + " END AS kind, CASE k " + " ".join(f"WHEN {i} THEN '{d}'" for i, (_, d, _) in enumerate(X.FALLBACK)) + " END AS detail, CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(t, '{_sql_rx(r)}', 1)" for i, (_, _, r) in enumerate(X.FALLBACK)) + " END AS name FROM k WHERE k IS NOT NULL"
+)
+def s282_fallback_symbols(spark: SparkSession, root: str) -> DataFrame:
+    """Declarations of lines by the fallback patterns."""
+    return from_latest_texts(spark, root, lambda t: X.fallback_symbols(t, ["pid", "path", "_k"]))

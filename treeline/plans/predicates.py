@@ -361,3 +361,10 @@ def s242_fallback_summaries(spark: SparkSession, root: str) -> DataFrame:
     """Summaries that only give a size."""
     s = F.when(c("language").isNull(), F.concat("path", F.lit(", "), F.coalesce("size_bytes", F.lit(0)).cast("string"), F.lit(" bytes."))).otherwise(F.concat("language", F.lit(" of "), "path"))
     return _files(spark, root).select("pid", "path", s.alias("summary")).withColumn("fallback", X.fallback_summary(c("summary")))
+
+
+@query("SELECT DISTINCT source, regexp_full_match(source, '[a-z0-9._-]{1,64}') AND source <> 'main' AS valid FROM documents WHERE source IS NOT NULL")
+def s079_aliases(spark: SparkSession, root: str) -> DataFrame:
+    """Which names may stand for a work tree: lower case, digits, dots, dashes; not 'main'."""
+    d = table(spark, root, "documents", "source").where("source IS NOT NULL").distinct()
+    return d.select("source", (c("source").rlike("^[a-z0-9._-]{1,64}$") & (c("source") != "main")).alias("valid"))

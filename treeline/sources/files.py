@@ -86,3 +86,46 @@ def git_paths(raw: Column, status: bool) -> Column:
     parts = F.filter(F.split(raw, "\0"), lambda x: x != "")
     cut = F.transform(parts, lambda x: F.substring(x, 4, 1 << 20)) if status else parts
     return F.array_sort(F.array_distinct(F.transform(cut, lambda x: F.translate(x, "\\", "/"))))
+
+
+def watch(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of files as they appear under ``root``: (path, mtime_ns, size_bytes, content_hash). Changes in place are found by ``exchange.poll``."""
+    fields = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(fields).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
+    base = re.escape(root.rstrip("/").removeprefix("file:").lstrip("/"))
+    path = F.regexp_replace("path", f"^[a-z]*:?/*{base}/", "")
+    return files.select(path.alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"))
+
+
+def read_artifacts(spark: SparkSession, folder: str, schema: str, limit: int = MAX_TEXT_BYTES) -> DataFrame:
+    """JSON documents of a folder, one row each: path, outcome (read, too_large or not_json) and their fields."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    body = F.from_json(F.when(F.col("length") <= limit, F.col("content").cast("string")), schema)
+    bad = body.isNull() | F.forall(F.array(*(body[f].isNull() for f in (x.split()[0] for x in schema.split(", ")))), lambda x: x)
+    outcome = F.when(F.col("length") > limit, "too_large").when(bad, "not_json").otherwise("read")
+    return files.select("path", outcome.alias("outcome"), body.alias("b")).select("path", "outcome", "b.*")
+
+
+def stage(spark: SparkSession, root: str, exclude: list[str] = (), rules: list[tuple[bool, bool, str]] = ()) -> dict[str, DataFrame]:
+    """Tables of a full publication of a source tree: nodes with language and class, texts, symbols, relations, imports and summaries.
+
+    ``Generations.publish`` writes them as one version. Texts are read once by each table that needs them, behind its own scan.
+    """
+    from treeline.functions.languages import content_class, detect_language
+    from treeline.operators import symbols as S
+
+    scanned = scan_tree(spark, root, exclude, rules)
+    texts = read_texts(spark, root).join(scanned.where("kind = 'file'").select("path"), "path", "left_semi")
+    language, reason = detect_language(F.col("path"))
+    is_text = F.col("outcome") == "indexed"
+    nodes = scanned.join(texts.select("path", "outcome"), "path", "left").withColumn("language", F.when(F.col("kind") == "file", language)).withColumn("detected_by", F.when(F.col("kind") == "file", reason))
+    nodes = nodes.withColumn("content_class", F.when(F.col("kind") == "file", content_class(F.col("language"), F.coalesce(is_text, F.lit(False)))))
+    kept = texts.where("outcome = 'indexed'").select("path", "content")
+    graphs = S.symbol_graphs(kept, ["path"])
+    rows = lambda name: graphs.select("path", F.explode(name).alias("x")).select("path", "x.*")
+    return {"nodes": nodes, "texts": texts, "symbols": rows("symbols"), "relations": rows("relations"), "imports": rows("imports"), "summaries": S.describe(kept, ["path"])}
+
+
+def map_lines(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """(path, line): each node as one line of JSON, in the order of the columns; null fields are left out."""
+    return nodes.select("path", F.to_json(F.struct("path", *(c for c in columns if c != "path"))).alias("line"))
