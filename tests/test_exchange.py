@@ -229,3 +229,29 @@ def test_hydration_and_revalidation(spark, tmp_path):
     with pytest.raises(RuntimeError):
         g.publish(t, still_true=lambda: False)
     assert g.active() == 1 and g.read("a").count() == 1 and g.publish(t, still_true=lambda: True) == 2
+
+
+def test_graph_operators_on_empty_tables_nulls_and_repeated_rows(spark):
+    edge, node = "pid string, src string, dst string", "pid string, node string"
+    none_e, none_n = spark.createDataFrame([], edge), spark.createDataFrame([], node)
+    assert G.weak_components(none_n, none_e).count() == G.strong_components(none_n, none_e).count() == G.bounded_bfs(none_e, none_n).count() == G.degrees(none_n, none_e).count() == 0
+    v = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b")], node)
+    assert {(r.node, r.component) for r in G.weak_components(v, none_e).collect()} == {("a", "a"), ("b", "b")} == {(r.node, r.component) for r in G.strong_components(v, none_e).collect()}
+    e = spark.createDataFrame([("p", "a", "b"), ("p", "a", "b"), ("p", None, "b"), ("p", "a", None), ("p", "b", "b")], edge).withColumn("component", F.lit("x")).withColumn("hops", F.lit(9))
+    assert {(r.node, r.component) for r in G.weak_components(v, e).collect()} == {("a", "a"), ("b", "a")} and {(r.node, r.component) for r in G.strong_components(v, e).collect()} == {("a", "a"), ("b", "b")}
+    assert {(r.node, r.hops) for r in G.bounded_bfs(e, spark.createDataFrame([("p", "a")], node)).collect()} == {("a", 0), ("b", 1)}
+
+
+def test_usage_operators_on_empty_tables(spark):
+    e = spark.createDataFrame([], "event_id bigint, owner string, at bigint, s string, v double, bytes bigint")
+    assert U.instances(e).count() == U.exact_median(e, ["s"], "v").count() == U.prune_plan(e, 0, 1, 1, 1).count() == U.greatest_before(e, "s", "event_id", "at").count() == 0
+
+
+def test_symbols_of_null_empty_long_and_repeated_texts(spark):
+    from treeline.operators import symbols as S
+
+    rows = [("a.py", "def f(): pass\n"), ("a.py", "def f(): pass\n"), ("b.py", ""), ("c.py", None), (None, "x"), ("d.js", "function g() {" + " x();" * 50_000 + "}"), ("e.zzz", "x")]
+    df = spark.createDataFrame(rows, "path string, content string").withColumn("symbols", F.lit("clash")).withColumn("language", F.lit(None).cast("int"))
+    got = sorted((r.path, r.language, len(r.symbols), len(r.relations)) for r in S.symbol_graphs(df, ["path"]).collect())
+    assert got == [("a.py", "python", 1, 0), ("a.py", "python", 1, 0), ("b.py", "python", 0, 0), ("d.js", "javascript", 1, 50_000)]
+    assert S.symbol_graphs(df.limit(0), ["path"]).count() == S.describe(df.limit(0), ["path"]).count() == 0
