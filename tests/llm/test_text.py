@@ -162,3 +162,19 @@ def test_unsure_paragraphs_go_with_their_neighbours(model, monkeypatch):
     monkeypatch.setattr(model, "read", lambda p: (*read[p], 12 if p == "f" else 2, np.zeros(1)))
     assert [x for x, _, _ in L.segment("b\n\nf\n\nc", model)] == ["en", "it"]
     assert [(x, n) for x, _, n in L.segment("# A\n\nb\n\nc\n\n# E\n\nd\n\nc", model)] == [("en", 6), ("pl", 6)]
+
+
+def test_labels_of_odd_tables(spark, model):
+    cols = "doc_id bigint, text string, lang string, seg_no string, confidence string"
+    rows = [(None, SENTENCES["en"], "en", "x", "y"), (1, None, None, None, None), (2, SENTENCES["ru"], None, None, None), (2, SENTENCES["ru"], None, None, None), (3, "\n\n```\n\n", "en", None, None)]
+    got = sorted((r.doc_id, r.seg_no, r.lang) for r in L.label_documents(spark.createDataFrame(rows, cols), model).collect())
+    assert got == [(2, 1, "ru"), (2, 1, "ru")]
+    assert L.label_documents(spark.createDataFrame([], cols), model).count() == 0
+
+
+def test_mixture_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "some words here", "a", "x", 5), (1, "some words here", "a", "x", 5), (2, "some words here", "b", "x", 5)], "doc_id bigint, text string, source string, digest string, rate int")
+    targets = spark.createDataFrame([("a", 0.5, 1, 9), ("b", 0.5, 1, 9)], "source string, target_share double, max_repeats int, tokens int")
+    used, report = M.mix(docs, targets)
+    assert [(r.doc_id, r.source, r.copies) for r in used.collect()] == [(1, "a", 1)] and {r.source: r.texts for r in report.collect()} == {"a": 1, "b": 0}
+    assert M.mix(docs, targets.limit(0))[0].count() == 0

@@ -129,3 +129,20 @@ def test_the_windows_find_what_the_reduction_calls_nesting(spark, language):
     files = spark.createDataFrame([(i.to_bytes(2), f"a{ext}", t) for i, t in enumerate(texts)], "fk binary, path string, content string")
     got = {int.from_bytes(x.fk) for x in nesting_faults(lexed(files)).collect()}
     assert {i for i, x in enumerate(reasons) if x == "nesting"} <= got
+
+
+def test_inheritance_of_empty_tables_and_clashing_columns(spark):
+    cols = "id int, project string, language string, file string, symbol_name string, symbol_parent string, parents array<string>, doc string, documented boolean, inherits boolean, origin string, level int, base string"
+    none = spark.createDataFrame([], cols)
+    assert Fn.resolve_inherited(none.drop("origin", "level", "base")).count() == 0 and Fn.overridden(none).count() == 0
+    rows = [(1, "p", "java", "A", "f", "A", [], "d", True, False, "x", 1, "y"), (2, "p", "java", "B", "f", "B", ["A", "A"], None, False, True, "x", 1, "y"), (2, "p", "java", "B", "f", "B", ["A"], None, False, True, "x", 1, "y"), (3, None, None, None, None, None, None, None, None, None, None, None, None)]
+    assert {(r.id, r.origin) for r in Fn.overridden(spark.createDataFrame(rows, cols)).collect()} == {(2, 1)}
+
+
+def test_invalid_texts_of_odd_tables(spark):
+    from treeline.llm.syntax import invalid_texts
+
+    rows = [(b"a", "a.py", "x = (", "q", 1), (b"a", "a.py", "x = (", "q", 1), (b"b", "b.json", "[" * 20_000, None, None), (b"c", "c.go", "", None, None)]
+    files = spark.createDataFrame(rows, "fk binary, path string, content string, language string, value int")
+    assert {bytes(r.fk) for r in invalid_texts(files).collect()} == {b"a", b"b", b"c"}
+    assert invalid_texts(files.limit(0)).count() == 0
