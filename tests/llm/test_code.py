@@ -105,6 +105,7 @@ ORIGIN = [
     ("src/generated_columns/d.py", "x = 1\n", None), ("third_party/e/f.py", "x = 1\n", "vendored"), ("src/vendors/g.py", "x\n", None), ("deps/h-2.4.1/i.rs", "fn f() {}\n", "vendored"), ("deps/mine/i.rs", "fn f() {}\n", None),
     ("a/j-lock.json", "{}", "lockfile"), ("a/lockfile.py", "x = 1\n", None), ("a/k.min.js", "var a=1;", "minified"), ("a/min.js", "var a = 1;\n", None), ("a/l.css", ".a{b:c;d:e}" * 60, "minified"),
     ("a/m.py", "T = [\n" + "    0x1f, 0x2a, 0x33, 0x44,\n" * 30 + "]\n", "data"), ("a/n.py", "T = [1, 2, 3]\n\n\ndef f(a, b):\n    return a + b\n", None), ("a/o.json", '{\n "comment": "AUTO-GENERATED FILE",\n "x": 1}', "generated"),
+    ("a/s.py", '"""Reads streams generated by older versions, and files generated with other tools."""\nimport r\n', None), ("a/t.py", "# This was generated by q.\nx = 1\n", "generated"),
     ("a/p.py", '"""Vendored from q 1.2."""\nimport r\n', "vendored"), ("a/q.py", "", None), ("a/r.md", "This page is about files that are generated.\nDo not edit them.\n", None),
 ]
 

@@ -87,6 +87,10 @@ def automaton():
     return a
 
 
+# Words before "generated by" and the like that speak of other things than the file: files, streams, objects ...
+_OTHERS = re.compile(r"(?!\b(?:this|is|was|sources)\b)\b[a-z]+s $")
+
+
 def notice_reason(lead: str, auto) -> str | None:
     """Kind of the first notice all of whose parts occur in an opening comment."""
     parts: dict[str, set] = {}
@@ -94,6 +98,8 @@ def notice_reason(lead: str, auto) -> str | None:
         before, after = lead[end - len(part) : end - len(part) + 1], lead[end + 1 : end + 2]
         if (part[0].isalnum() and len(lead) > end - len(part) >= 0 and before.isalnum()) or (part[-1].isalnum() and after.isalnum()):
             continue
+        if part.startswith("generated ") and _OTHERS.search(lead[: end - len(part) + 1]):
+            continue
         for notice, need, kind in uses:
             have = parts.setdefault(notice, set())
             have.add(part)
