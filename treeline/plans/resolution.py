@@ -11,7 +11,7 @@ from treeline.functions import paths as P
 from treeline.functions import text as T
 from treeline.functions.languages import CLASS_OF
 from treeline.operators import graph as G
-from treeline.operators.changes import delta, upsert
+from treeline.operators.changes import delta, replace_scan, upsert
 from treeline.operators.extract import declarations
 from treeline.operators.search import bounded
 from treeline.plans.extraction import _LINE, _sql_rx
@@ -471,3 +471,30 @@ def s042_fitting(spark: SparkSession, root: str) -> DataFrame:
     """The longest beginning of each repository's findings that takes at most 500 bytes (a line each), of a hundred rows at most."""
     f = health_findings(purposes(spark, root)).select("pid", F.concat_ws(":", "category", "path").alias("item")).distinct()
     return bounded(f, F.octet_length("item") + 1, ["item"], 100, 500, ["pid"]).where("admitted").select("pid", "item")
+
+
+# ---------------------------------------------------------------- stored nodes against what scans recorded
+
+_LAST_SCAN = "scan AS (SELECT lower(project_instance_id) pid, regexp_replace(replace(path, '\\', '/'), '^\\./', '') path, max((observed_at, record_id, lower(content_hash))) s FROM node_scans WHERE content_hash IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2)"
+
+
+def last_scan(spark: SparkSession, root: str) -> DataFrame:
+    """(pid, path, content_hash) of the last record of each path."""
+    s = table(spark, root, "node_scans", "project_instance_id", "path", "content_hash", "observed_at", "record_id").where("content_hash IS NOT NULL AND path IS NOT NULL")
+    state = F.struct("observed_at", "record_id", hex_key("content_hash").alias("content_hash"))
+    return s.groupBy(hex_key("project_instance_id").alias("pid"), tree_path("path").alias("path")).agg(F.max(state).alias("s")).select("pid", "path", "s.content_hash")
+
+
+@query(f"WITH {NODES}, {_LAST_SCAN}, f AS (SELECT pid, path, content_hash FROM node WHERE kind = 'file' AND exists_now) SELECT coalesce(f.pid, scan.pid) AS pid, coalesce(f.path, scan.path) AS path, CASE WHEN f.path IS NULL THEN 'added' WHEN scan.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM f FULL JOIN scan ON f.pid = scan.pid AND f.path = scan.path WHERE f.path IS NULL OR scan.path IS NULL OR f.content_hash IS DISTINCT FROM scan.s[3]")
+def s195_nodes_and_scans(spark: SparkSession, root: str) -> DataFrame:
+    """What the last scan records add to, miss from and change in the stored files."""
+    f = nodes(spark, root).where("kind = 'file' AND exists_now").select("pid", "path", "content_hash")
+    return delta(f, last_scan(spark, root), ["pid", "path"], ["content_hash"])
+
+
+@query(f"WITH {_PURPOSES}, {_LAST_SCAN}, f AS (SELECT node.pid, node.path, node.content_hash, purpose FROM node JOIN purpose USING (pid, path) WHERE node.kind = 'file') SELECT coalesce(f.pid, scan.pid) AS pid, coalesce(f.path, scan.path) AS path, CASE WHEN scan.path IS NOT NULL THEN scan.s[3] ELSE f.content_hash END AS content_hash, purpose, scan.path IS NOT NULL AS exists_now FROM f FULL JOIN scan ON f.pid = scan.pid AND f.path = scan.path")
+def s030_replaced_by_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Stored files after the last scan: seen ones take its hash, unseen ones stay, marked gone, and purposes survive."""
+    p = purposes(spark, root).select("pid", "path", "purpose")
+    f = nodes(spark, root).where("kind = 'file'").select("pid", "path", "content_hash").join(p, ["pid", "path"])
+    return replace_scan(f, last_scan(spark, root), ["pid", "path"], ["purpose"])
