@@ -166,3 +166,13 @@ def test_snapshots_of_any_size_have_leaves_of_one_size(spark, monkeypatch):
     monkeypatch.setattr(D, "ROWS_PER_LEAF", 2 ** -18)
     assert spark.range(1).select(D.leaf_level(F.lit(700))).first()[0] == 4
     assert {tuple(x) for x in snapshot_changes(df, meta, "k", ["v"]).collect()} == flat and flat
+
+
+def test_small_scans_are_spread_and_other_plans_left_alone(spark, tmp_path):
+    from treeline.sources.tables import spread
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(df, "id").rdd.getNumPartitions() == 4 and {r.id for r in spread(df).collect()} == set(range(10))
+    grouped = df.groupBy("id").count()
+    assert spread(grouped) is grouped

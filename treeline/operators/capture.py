@@ -206,6 +206,11 @@ class LogCapture:
         out.close()
         if n % self.merge == 0:
             self._state(n + 1).write.mode("overwrite").parquet(f"{self.dir}/merged/{n}")
+            # What the merged table holds is no longer read.
+            for name, last in (("state", n), ("merged", n - 1)):
+                for k in self._numbers(name):
+                    if k <= last:
+                        self._fs.delete(self._path(f"{self.dir}/{name}/{k}"), True)
 
     def run(self, log: DataFrame) -> DataFrame:
         """Plan, process and commit one batch; the changes it found."""

@@ -256,3 +256,23 @@ def s241_summary_status(spark: SparkSession, root: str) -> DataFrame:
     w = g.groupBy(hex_key("project_instance_id").alias("pid"), c("scope_path").alias("path")).agg(F.bool_or(c("state").isin("failed", "quarantined", "oversized")).alias("failed"), F.bool_or(c("state").isin("partial", "stale")).alias("partial"))
     n = nodes(spark, root).where("kind = 'file'").join(w, ["pid", "path"], "left")
     return n.select("pid", "path", F.when(c("failed").isNull(), "unparsed").when(c("failed"), "failed").when(c("partial"), "partial").otherwise("parsed").alias("status"))
+
+
+_PREVIEW = """size AS (SELECT pid, component, count(*) n FROM comp GROUP BY 1, 2), big AS (SELECT pid, component FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, component) i FROM size) WHERE i = 1),
+deg AS (SELECT pid, node, count(*) d FROM (SELECT pid, unnest([src, dst]) node FROM liveu) GROUP BY 1, 2), hub AS (SELECT pid, node FROM (SELECT deg.pid, deg.node, row_number() OVER (PARTITION BY deg.pid ORDER BY d DESC, deg.node) i FROM deg JOIN comp ON comp.pid = deg.pid AND comp.node = deg.node JOIN big ON big.pid = comp.pid AND big.component = comp.component) WHERE i = 1),
+walk AS (SELECT pid, node, 0 AS hops FROM hub UNION SELECT w.pid, u.dst, w.hops + 1 FROM walk w JOIN u ON u.pid = w.pid AND u.src = w.node WHERE w.hops < 2), near AS (SELECT pid, node, min(hops) hops FROM walk GROUP BY 1, 2),
+pick AS (SELECT pid, node FROM (SELECT near.pid, near.node, row_number() OVER (PARTITION BY near.pid ORDER BY hops, d DESC, near.node) i FROM near JOIN deg ON deg.pid = near.pid AND deg.node = near.node) WHERE i <= 48)"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_LIVE}, " + _REACHED.format(e="liveu") + f", {_PREVIEW} SELECT pid, src, dst FROM (SELECT e.pid, e.src, e.dst, row_number() OVER (PARTITION BY e.pid ORDER BY e.src, e.dst) i FROM liveu e JOIN pick a ON a.pid = e.pid AND a.node = e.src JOIN pick b ON b.pid = e.pid AND b.node = e.dst) WHERE i <= 64")
+def s190_preview(spark: SparkSession, root: str) -> DataFrame:
+    """A small picture of each repository's graph: around the busiest node of its largest component, the 48 nearest and busiest nodes within two steps, and 64 edges between them."""
+    v, e = vertices(spark, root), live_links(spark, root)
+    comp, deg = G.weak_components(v, e), G.degrees(v, e).where("degree > 0")
+    first = lambda df, *order: df.withColumn("i", F.row_number().over(W.partitionBy("pid").orderBy(*order))).where("i <= 1").drop("i")
+    big = first(comp.groupBy("pid", "component").agg(ONE("n")), F.desc("n"), "component").select("pid", "component")
+    hub = first(deg.join(comp.join(big, ["pid", "component"], "left_semi"), ["pid", "node"]), F.desc("degree"), "node").select("pid", "node")
+    near = G.bounded_bfs(e.unionByName(G.reverse(e)), hub, 2).join(deg, ["pid", "node"])
+    pick = near.withColumn("i", F.row_number().over(W.partitionBy("pid").orderBy("hops", F.desc("degree"), "node"))).where("i <= 48").select("pid", "node")
+    inner = e.join(pick.withColumnRenamed("node", "src"), ["pid", "src"], "left_semi").join(pick.withColumnRenamed("node", "dst"), ["pid", "dst"], "left_semi")
+    return inner.withColumn("i", F.row_number().over(W.partitionBy("pid").orderBy("src", "dst"))).where("i <= 64").select("pid", "src", "dst")

@@ -84,7 +84,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt out by keys if its scan has no more pieces than half the cores; unchanged otherwise.
 
     For the texts that Python reads token by token: one small file that can't be split would keep a single core busy. Where there is
-    a piece for most cores, as with any large table, nothing is moved. The rows are the same either way.
+    a piece for most cores, as with any large table, nothing is moved. The rows are the same either way. Plans with an exchange are left
+    as they are: their pieces are known only once they ran.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if plan.executedPlan().nodeName().startswith("Adaptive"):
+        return df
+    return df.repartition(cores, *keys) if 2 * plan.toRdd().getNumPartitions() <= cores else df
