@@ -13,7 +13,7 @@ from treeline.plans.index_tables import ENTITIES, NODES, RELATIONS, TEXTS, entit
 from treeline.plans.predicates import _in
 from treeline.plans.registry import query
 from treeline.plans.search_and_sets import _PURPOSES, purposes
-from treeline.sources.tables import hex_key, table
+from treeline.sources.tables import checkpointed, hex_key, table
 
 c = F.col
 ONE = lambda name: F.count(F.lit(1)).alias(name)
@@ -267,7 +267,7 @@ pick AS (SELECT pid, node FROM (SELECT near.pid, near.node, row_number() OVER (P
 @query(f"WITH RECURSIVE {_EDGES}, {_LIVE}, " + _REACHED.format(e="liveu") + f", {_PREVIEW} SELECT pid, src, dst FROM (SELECT e.pid, e.src, e.dst, row_number() OVER (PARTITION BY e.pid ORDER BY e.src, e.dst) i FROM liveu e JOIN pick a ON a.pid = e.pid AND a.node = e.src JOIN pick b ON b.pid = e.pid AND b.node = e.dst) WHERE i <= 64")
 def s190_preview(spark: SparkSession, root: str) -> DataFrame:
     """A small picture of each repository's graph: around the busiest node of its largest component, the 48 nearest and busiest nodes within two steps, and 64 edges between them."""
-    v, e = vertices(spark, root), live_links(spark, root)
+    v, e = vertices(spark, root), checkpointed(live_links(spark, root))
     comp, deg = G.weak_components(v, e), G.degrees(v, e).where("degree > 0")
     first = lambda df, *order: df.withColumn("i", F.row_number().over(W.partitionBy("pid").orderBy(*order))).where("i <= 1").drop("i")
     big = first(comp.groupBy("pid", "component").agg(ONE("n")), F.desc("n"), "component").select("pid", "component")

@@ -27,8 +27,9 @@ txt AS (SELECT pid, path, s[2] AS content_hash, s[3] AS content FROM t)"""
 
 
 def _stored(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    """Rows of the text table that hold a text, with ``_k``, 16 bytes for (repository, path, time, hash)."""
-    df = table(spark, root, "file_texts", "project_instance_id", "path", "content_hash", "content", "updated_at").where("path IS NOT NULL AND content IS NOT NULL")
+    """Rows of the text table with their version; the texts themselves are read only where ``content`` is asked for, nulls then left out."""
+    df = table(spark, root, "file_texts", "project_instance_id", "path", "content_hash", "updated_at", *columns).where("path IS NOT NULL")
+    df = df.where("content IS NOT NULL") if "content" in columns else df
     pid, h = hex_key("project_instance_id"), hex_key("content_hash")
     return df.select(pid.alias("pid"), "path", h.alias("content_hash"), "updated_at", *columns)
 
@@ -38,7 +39,10 @@ def _version() -> Column:
 
 
 def latest_states(spark: SparkSession, root: str) -> DataFrame:
-    """(pid, path, content_hash, _k) of the last text of each path, without the texts."""
+    """(pid, path, content_hash, _k) of the last version of each path, without the texts: their column is not read.
+
+    A version whose text is null is one all the same; where it is the last, the path has no text.
+    """
     one = _stored(spark, root).groupBy("pid", "path").agg(F.max(F.struct("updated_at", "content_hash")).alias("s"))
     return one.select("pid", "path", "s.*").select("pid", "path", "content_hash", _version())
 
