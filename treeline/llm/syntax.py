@@ -15,6 +15,7 @@ import tomllib
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,6 +26,7 @@ from treeline.llm.lexers import BAD, EXTENSIONS, grammar, tokens
 from treeline.sources.tables import spread, written
 
 SHIFT = 12  # a pair is one number: left << SHIFT | right
+PIECE = 500  # files a worker hands on at once
 LANGUAGES = sorted(set(EXTENSIONS.values()))
 
 
@@ -116,13 +118,18 @@ def lexed(files: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(10_000)
+        columns = ["fk", "language", "reason", "pairs", "brackets"]
         for b in batches:
             rows = []
             for fk, path, text in zip(b["fk"], b["path"], b["content"], strict=True):
                 language = EXTENSIONS.get(path[path.rfind(".") :].lower())
                 if language:
-                    rows.append((fk, language, *read(language, text)))
-            yield pd.DataFrame(rows, columns=["fk", "language", "reason", "pairs", "brackets"], dtype=object)
+                    reason, pairs, brackets = read(language, text)
+                    rows.append((fk, language, reason, np.array(pairs, np.int32), np.array(brackets, np.int8)))
+                if len(rows) >= PIECE:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return spread(files.where(extension().isin(list(EXTENSIONS))), "fk").mapInPandas(scan, _LEXED)
 
